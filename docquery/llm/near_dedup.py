@@ -6,10 +6,9 @@ minima, about the square root of what as many independent tables need. Two sets
 probability below 2*(1-0.8^GROUP_SIZE)^GROUPS = 7e-5, and of 0.9 with 1e-7. Every link is confirmed on the full sets.
 
 No group is expanded into its pairs. Equal sets are one representative. In each table, members are first compared with one
-leader; members left outside the table's largest component are compared with further pivots of it while that pays; what is
-still apart then is compared exactly, the few outside with all of the other components. So no pair of a shared table that
-could still join two components goes unchecked, except pairs whose 40 minima agree in fewer than 20 places (for a
-similarity of 0.8 the chance is under 1e-5).
+leader, the set that shares most groups with others; members left outside the table's largest component are compared with
+further pivots of it while that pays; what is still outside then is compared in blocks, the few outside with all that share
+their tables. So every pair of a shared table is compared unless it is connected already.
 
 Defined results: words are split at ASCII white space after folding A-Z; a text of fewer than `words` words has its whole
 sequence as its one shingle; null texts and texts without words have no shingle and are linked with nothing; repeated rows
@@ -30,7 +29,11 @@ from docquery.llm import blocks as B
 from docquery.llm.common import components, discard, id_and_text, settle, small, without
 
 GROUPS, GROUP_SIZE = 10, 2
-PIVOT_ROUNDS = 5
+PIVOT_ROUNDS = 3
+#: Up to so many pairs of members outside and inside are compared in blocks without further pivots.
+PAIRS_AT_ONCE = 1_000_000
+#: Sets on each side of a block.
+BLOCK = 256
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1 << 63, size=2 * GROUPS * GROUP_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _rng.integers(1 << 63, size=2 * GROUPS * GROUP_SIZE, dtype=np.uint64)
@@ -85,54 +88,47 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     # Only groups that two sets share can be part of a shared table; the others need no table rows.
     group = reps.select("rep", "n", F.posexplode(F.concat("a", "b")).alias("i", "value"))
-    shared = group.groupBy("i", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    hits = group.join(shared, ["i", "value"]).groupBy("rep", "n").agg(F.collect_list(F.struct("i", "value")).alias("g"))
-    tables = hits.select("rep", "n", F.explode(F.filter("g", lambda x: x.i < GROUPS)).alias("x"), "g").select("rep", "n", "x", F.explode(F.filter("g", lambda y: y.i >= GROUPS)).alias("y"))
-    tables = settle(tables.select(F.xxhash64("x.i", "x.value", "y.i", "y.value").alias("key"), "rep", "n"), "tables")
+    shared = group.groupBy("i", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    hits = group.join(shared, ["i", "value"]).groupBy("rep", "n").agg(F.sum("c").alias("pop"), F.collect_list(F.struct("i", "value")).alias("g"))
+    tables = hits.select("rep", "n", "pop", F.explode(F.filter("g", lambda x: x.i < GROUPS)).alias("x"), "g").select("rep", "n", "pop", "x", F.explode(F.filter("g", lambda y: y.i >= GROUPS)).alias("y"))
+    tables = settle(tables.select(F.xxhash64("x.i", "x.value", "y.i", "y.value").alias("key"), "rep", "n", "pop"), "tables")
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
-    # Every member of a table against the table's leader.
-    leaders = tables.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("x.rep").alias("lead"), F.col("x.n").alias("m"))
+    # Every member of a table against its leader, the one that shares most groups with others: the middle of its cluster.
+    leaders = tables.groupBy("key").agg(F.max(F.struct("pop", -F.col("rep"), "n")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (-F.col("x.col2")).alias("lead"), F.col("x.n").alias("m"))
     members = settle(tables.join(leaders, "key"), "members")
     discard(tables)
     asked = settle(members.where((F.col("rep") != F.col("lead")) & alike).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     texts = candidates(docs, members.select("rep").distinct())
-    done = [compare(asked, texts, words, percent)]
-    members = members.select("key", "rep", "n")
+    members = members.select("key", "rep", "n", "pop")
+    links = [compare(asked, texts, words, percent)]
 
     def joined() -> DataFrame:
-        links = done[0].where("linked")
-        for d in done[1:]:
-            links = links.union(d.where("linked"))
-        return components(links.select("a", "b"))
+        every = links[0]
+        for more in links[1:]:
+            every = every.union(more)
+        return components(every)
 
     def apart(found: DataFrame) -> DataFrame:
-        """Members of tables with more than one component; main: the table's largest component."""
+        """Members of tables with more than one component; main: the table's largest component, pivot: a member of it."""
         at = members.join(found, members.rep == found.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        main = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(len(done))).alias("h"), "rep", "n")).alias("p")).groupBy("key").agg(F.max(F.struct("c", "comp", "p")).alias("m"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("total")).where("k > 1")
-        return settle(at.join(main.select("key", F.col("m.comp").alias("main"), F.col("m.p.rep").alias("pivot"), F.col("m.p.n").alias("m"), "total"), "key"), "apart")
+        main = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(len(links))).alias("h"), "rep", "n")).alias("p")).groupBy("key").agg(F.max(F.struct("c", "comp", "p")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        return settle(at.join(main.select("key", F.col("m.comp").alias("main"), F.col("m.p.rep").alias("pivot"), F.col("m.p.n").alias("m")), "key"), "apart")
 
     found, before = joined(), None
     while True:
         open_ = apart(found)
-        cost = open_.where("comp <> main").agg(F.sum("total")).first()[0] or 0
-        if len(done) > PIVOT_ROUNDS or cost <= 200_000 or before is not None and cost > 0.8 * before:
+        outside = open_.groupBy("main").agg(F.count_distinct(F.when(F.col("comp") != F.col("main"), F.col("rep"))).alias("few"), F.count_distinct("rep").alias("all"))
+        outside = settle(outside, "outside")
+        cost = outside.agg(F.sum(F.col("few").cast("double") * F.col("all"))).first()[0] or 0
+        if len(links) > PIVOT_ROUNDS or cost <= PAIRS_AT_ONCE or before is not None and cost > 0.7 * before:
             break
         before = cost
         pairs = open_.where((F.col("comp") != F.col("main")) & alike).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        done.append(compare(settle(unseen(pairs, done), "pairs"), texts, words, percent))
-        discard(open_, found)
+        links.append(compare(settle(pairs, "pairs"), texts, words, percent))
+        discard(open_, outside, found)
         found = joined()
-
-    # What is still apart: the members outside the largest component with all members of other components.
-    few = open_.where("comp <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("comp").alias("comp_a"))
-    rest = few.join(open_.select("key", F.col("rep").alias("b"), "n", "comp"), "key").where((F.col("comp") != F.col("comp_a")) & alike)
-    rest = unseen(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), done)
-    mins = reps.select("rep", F.concat("a", "b").alias("s"))
-    rest = rest.join(mins.select(F.col("rep").alias("a"), F.col("s").alias("s_a")), "a").join(mins.select(F.col("rep").alias("b"), F.col("s").alias("s_b")), "b")
-    agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (F.shiftright(x, 32) == F.shiftright(y, 32)).cast("int") + (x.bitwiseAND(0xFFFFFFFF) == y.bitwiseAND(0xFFFFFFFF)).cast("int")), F.lit(0), lambda s, x: s + x)
-    rest = settle(rest.where(agree >= GROUPS * GROUP_SIZE).select("a", "b"), "pairs")
-    done.append(compare(rest, texts, words, percent))
+    links.append(block_links(open_, outside, texts, words, percent))
     found = joined()
 
     named = settle(reps.join(found, reps.rep == found.node, "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("comp")), "named")
@@ -141,11 +137,50 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
-def unseen(pairs: DataFrame, done: list[DataFrame]) -> DataFrame:
-    """Pairs that no earlier round compared, in either order."""
-    for d in done:
-        pairs = pairs.join(d.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
-    return pairs
+def block_links(open_: DataFrame, outside: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): the members outside a largest component against all that share its tables, by blocks of BLOCK sets each.
+
+    A block of the ones meets a block of the others in one group, so a text is sent once for each block that it meets, not
+    once for each pair, and one link of a member with each other component is enough.
+    """
+    blocks = outside.where("few > 0").select(F.col("main").alias("main_"), F.ceil(F.col("few") / BLOCK).alias("xs"), F.ceil(F.col("all") / BLOCK).alias("ys"))
+    rows = open_.select("main", "rep", "comp").distinct().join(blocks, F.col("main") == F.col("main_"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    x = rows.where("comp <> main").select("main", place("xs").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("by"), "rep", "comp", F.lit(True).alias("few"))
+    y = rows.select("main", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("bx"), place("ys").alias("by"), "rep", "comp", F.lit(False).alias("few"))
+    met = settle(x.unionByName(y), "blocks").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    found = met.groupBy("main", "bx", "by").applyInArrow(lambda t: compared_block(t, words, percent), "a long, b long")
+    return settle(found.distinct(), "compared")
+
+
+def compared_block(t: pa.Table, words: int, percent: int) -> pa.Table:
+    """Links between the rows marked `few` and the others, by the postings of the former's shingles."""
+    t = t.combine_chunks()
+    few, rep, comp = (t.column(c).to_numpy() for c in ("few", "rep", "comp"))
+    sets: list[np.ndarray] = []
+    for _, _, data, offsets in B.blocks(t.column("text")):
+        sets += B.shingle_sets(data, offsets, words)
+    x = np.flatnonzero(few)
+    out_a, out_b = [], []
+    if len(x) and not few.all():
+        sizes = np.array([len(sets[i]) for i in x])
+        known, inverse = np.unique(np.concatenate([sets[i] for i in x]), return_inverse=True)
+        owner = np.repeat(np.arange(len(x)), sizes)[np.argsort(inverse, kind="stable")]
+        at = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(known)))])
+        for j in np.flatnonzero(~few):
+            k = np.searchsorted(known, sets[j])
+            k[k == len(known)] = 0
+            k = k[known[k] == sets[j]]
+            n = at[k + 1] - at[k]
+            both = np.bincount(owner[np.repeat(at[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())], minlength=len(x)) if len(k) else np.zeros(len(x), int)
+            linked = (both > 0) & (100 * both >= percent * (sizes + len(sets[j]) - both)) & (comp[x] != comp[j])
+            out_a.append(rep[x[linked]])
+            out_b.append(np.full(linked.sum(), rep[j]))
+    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
+    # One link of a member with each component.
+    names = {r: c for r, c in zip(rep.tolist(), comp.tolist(), strict=True)}
+    once = {(p, names[q]): q for p, q in zip(a.tolist(), b.tolist(), strict=True)}
+    return pa.table({"a": pa.array([p for p, _ in once], pa.int64()), "b": pa.array(list(once.values()), pa.int64())})
 
 
 def candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -155,10 +190,10 @@ def candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked). The join on a, whose leaders may be hot, comes last and is a plain join that can be split."""
+    """(a, b) of the pairs that are linked. The join on a, whose leaders may be hot, comes last and can be split."""
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return settle(both.mapInArrow(lambda it: verified(it, words, percent), "a long, b long, linked boolean"), "compared")
+    return settle(both.mapInArrow(lambda it: verified(it, words, percent), "a long, b long, linked boolean").where("linked").select("a", "b"), "compared")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
