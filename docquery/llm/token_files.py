@@ -4,8 +4,8 @@ Texts are range-partitioned and sorted by doc_id, encoded in Arrow batches and w
 groups, small pages and page indexes, so a reader of a few documents or of the metadata alone touches only their pages.
 Each file has its part number and starts counted within it; the parts' totals turn them into global starts on reading.
 
-Every word between ASCII white space is encoded once per worker and cache (the tokenizer's pieces never cross white space);
-the cache is emptied at a fixed size.
+Every word between ASCII white space is encoded once per worker and cache (the tokenizer's pieces never cross white space;
+if it folds capitals and cuts at punctuation anyway, so does the cache's key); the cache is emptied at a fixed size.
 
 Defined results: null and empty texts have only the end id; equal doc_ids are ordered by their text; null doc_ids come
 first; an empty table gives an empty result. Further columns are not written.
@@ -13,6 +13,7 @@ first; an empty table gives an empty result. Further columns are not written.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -40,6 +41,14 @@ WRITER = {
 }
 
 
+#: Boundaries between an ASCII letter and ASCII punctuation (no apostrophe), at which this split always cuts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KIND = np.zeros(256, np.int8)
+_KIND[33:48] = _KIND[58:65] = _KIND[91:97] = _KIND[123:127] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[39] = 0
+
+
 class Encoder:
     """Encodes whole texts, by way of a cache of their words."""
 
@@ -49,60 +58,109 @@ class Encoder:
         self.tokenizer, self.end_id = Tokenizer.from_str(model), end_id
         #: A special token between words keeps each word a text of its own, in one call for many.
         self.mark = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip and not t.single_word), None)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        known = json.loads(model)
+        steps = [x["type"] for x in (known.get("normalizer") or {}).get("normalizers", [])]
+        parts = (known.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        #: Whether capitals are folded anyway, and words are cut at punctuation anyway: then fewer words are told apart.
+        self.cuts = steps == ["NFC", "Replace", "Lowercase"] and bool(parts) and parts[0].get("pattern") == {"Regex": SPLIT} and parts[0].get("invert")
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def ids_of(self, words: list[str]) -> list[np.ndarray]:
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has."""
         if self.mark is None:
-            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([x for i in ids for x in i], np.int32), np.array([len(i) for i in ids], np.int64)
         text, mark = self.mark
-        odd = [i for i, w in enumerate(words) if "<" in w or text in w]
-        plain = words if not odd else [w if "<" not in w and text not in w else "" for w in words]
-        out: list[np.ndarray] = []
-        for i in range(0, len(plain), 4096):
-            ids = np.array(self.tokenizer.encode_batch_fast([text.join(plain[i : i + 4096])], add_special_tokens=False)[0].ids, np.int32)
-            cut = np.flatnonzero(ids == mark)
-            out += [p[1:] if k else p for k, p in enumerate(np.split(ids, cut))]
-        for i in odd:
-            out[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.int32)
-        return out
+        flat, sizes = [], []
+        for i in range(0, len(words), 4096):
+            ids = np.array(self.tokenizer.encode_batch_fast([text.join(words[i : i + 4096])], add_special_tokens=False)[0].ids, np.int32)
+            at = ids == mark
+            flat.append(ids[~at])
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(at), [len(ids)]])) - 1)
+        return np.concatenate([*flat, np.zeros(0, np.int32)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
+
+    def add(self, words: list[bytes]) -> None:
+        flat, sizes = self.ids_of([w.decode() for w in words])
+        n = len(self.slot)
+        self.slot.update(zip(words, range(n, n + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, flat])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
 
     def slots(self, words: list[bytes]) -> np.ndarray:
-        new = [w for w in words if w not in self.slot]
-        if new:
+        get = self.slot.get
+        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        if len(new := np.flatnonzero(found < 0)):
             if len(self.flat) > CACHE_TOKENS:
                 self.clear()
-                new = words
-            ids = self.ids_of([w.decode() for w in new])
-            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *ids])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
-        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+                new = np.arange(len(words))
+            n = len(self.slot)
+            self.add([words[i] for i in new.tolist()])
+            if len(self.slot) > n:
+                get = self.slot.__getitem__
+                found[new] = np.fromiter((get(words[i]) for i in new.tolist()), np.int64, len(new))
+        return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's documents, end ids included, and where each document's begin."""
+        raw = data.tobytes()
+        if any(x in raw for x in self.added):
+            return self.encode_apart(raw, offsets)
+        if self.cuts:
+            data = B.LOWER[data]
         starts, stops, first = B.spans(data, offsets, B.NOT_SPACE)
+        if self.cuts and len(data) > 1:
+            kind = _KIND[data]
+            cut = np.flatnonzero(kind[:-1] + kind[1:] == 3) + 1
+            cut = cut[kind[cut] * kind[cut - 1] == 2]  # one letter and one punctuation, of one word or of two documents
+            cut = cut[~np.isin(cut, offsets, assume_unique=False)] if len(cut) else cut
+            starts, stops = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([stops, cut]))
+            first = np.searchsorted(starts, offsets)
         size = np.concatenate([[0], np.cumsum(stops - starts)])
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(size.astype(np.int64)), pa.py_buffer(data[B.NOT_SPACE[data]])]).dictionary_encode()
-        slot = self.slots(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        begin, n = self.at[slot], self.at[slot + 1] - self.at[slot]
-        cum = np.concatenate([[0], np.cumsum(n)])
-        docs = np.arange(len(offsets))
-        bounds = cum[first] + docs  # one end id for each document before
-        out = np.full(int(bounds[-1]), self.end_id, np.int32)
-        source = np.repeat(begin - cum[:-1], n) + np.arange(cum[-1])
-        out[np.arange(cum[-1]) + np.repeat(docs[:-1], np.diff(cum[first]))] = self.flat[source]
+        slot = self.slots(words.dictionary.to_pylist())
+        n, begin = (self.at[slot + 1] - self.at[slot]).astype(np.int32), self.at[slot].astype(np.int32)
+        index = words.indices.to_numpy()
+        n = n[index]
+        ends = np.cumsum(n, dtype=np.int64)
+        cum = np.concatenate([[0], ends])
+        bounds = cum[first] + np.arange(len(offsets))  # one end id for each document before
+        total = int(cum[-1])
+        source = np.repeat(begin[index] - (ends - n).astype(np.int32), n)
+        source += np.arange(total, dtype=np.int32)
+        out = np.insert(self.flat[source], cum[first[1:]], np.int32(self.end_id))
         return out, bounds
 
+    def encode_apart(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for blocks in which an added token's text occurs: such documents are encoded whole."""
+        texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        whole = [any(x in t for x in self.added) for t in texts]
+        rest = [b"" if w else t for t, w in zip(texts, whole, strict=True)]
+        ids, bounds = self.encode(np.frombuffer(b"".join(rest), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in rest])]).astype(np.int64))
+        parts = [np.array([*self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, self.end_id], np.int32) if w else ids[bounds[d] : bounds[d + 1]] for d, (t, w) in enumerate(zip(texts, whole, strict=True))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+_coders: dict[tuple[int, int], Encoder] = {}
+
+
+def coder_of(model: str, end_id: int) -> Encoder:
+    """This worker's encoder; its cache lasts from task to task."""
+    key = (hash(model), end_id)
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = Encoder(model, end_id)
+    return _coders[key]
+
 
 def encoded(batches: Iterator[pa.RecordBatch], model: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    coder, start, part = None, 0, TaskContext.get().partitionId()
+    coder, start, part = coder_of(model, end_id), 0, TaskContext.get().partitionId()
     for batch in batches:
-        coder = coder or Encoder(model, end_id)
-        for a, b, data, offsets in B.blocks(batch.column("text"), 4 << 20):
+        for a, b, data, offsets in B.blocks(batch.column("text"), 8 << 20):
             ids, bounds = coder.encode(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part, np.int32)), batch.column("doc_id").slice(a, b - a), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), lists], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
