@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquery.functions.compare import Typed, against, kind_of, literal, order
-from docquery.functions.paths import find_path
+from docquery.functions.paths import find_path, step
 from docquery.plans import filters as P
 from docquery.plans import values as V
+from docquery.plans.errors import UnsupportedTyped
 
 
 def compile_filter(f: Any, schema: T.StructType) -> Column:
@@ -27,8 +28,6 @@ def element_filter(f: Any, element: Typed) -> Column:
         if isinstance(element.dtype, T.StructType):
             first, *rest = path.split(".")
             x = Typed(element.col.getField(first), element.dtype[first].dataType) if first in element.dtype.names else literal(None)
-            from docquery.functions.paths import step
-
             for part in rest:
                 x = step(x, part)
             return x
@@ -75,10 +74,12 @@ def compare(x: Typed, op: str, v: Any) -> Column:
     some = F.coalesce(F.exists(x.col, lambda e: against(Typed(e, element), op, v)), F.lit(False))
     null = against(Typed(F.lit(None).cast("double"), T.DoubleType()), op, v)  # a missing field is null
     whole = F.lit(False)
-    if isinstance(v, list | tuple) and (not v or kind_of(element) == kind_of(literal(list(v)).dtype.elementType)):
+    if isinstance(v, list | tuple) and not v:
+        whole = {"eq": F.size(x.col) == 0, "gt": F.size(x.col) > 0, "gte": F.lit(True), "lt": F.lit(False), "lte": F.size(x.col) == 0}[op]
+    elif isinstance(v, list | tuple) and kind_of(element) == kind_of(literal(list(v)).dtype.elementType):
         whole = order(x, op, literal(list(v)))
-        if not v:
-            whole = {"eq": F.size(x.col) == 0, "gt": F.size(x.col) > 0, "gte": F.lit(True), "lt": F.lit(False), "lte": F.size(x.col) == 0}[op]
+    elif isinstance(v, list | tuple):
+        raise UnsupportedTyped("arrays of different types are compared in dynamic mode")
     return F.when(x.col.isNull(), null).otherwise(some | F.coalesce(whole, F.lit(False)))
 
 
