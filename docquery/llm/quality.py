@@ -3,7 +3,8 @@
 The model has four orders over a folded byte alphabet of 44 symbols, so each table has at most 44^4 rows however large the
 corpus is. Counts come from all trusted text: summed up by each task, then shuffled by (language, n-gram). Discounts,
 context totals and back-off weights are joined to the counts in shards by (language, context). Documents meet the model of
-their own language: models are dealt into shards of at most SHARD_BYTES, each broadcast for one pass over its languages.
+their own language: models are dealt into shards of at most SHARD_BYTES of a worker's tables, each broadcast (as the
+rows that occur) for one pass over its languages.
 
 A tenth of the trusted documents stays out of the counts; quantiles of their perplexities are the thresholds.
 
@@ -15,7 +16,7 @@ what the filter returns and are ignored otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -108,37 +109,66 @@ def interpolated(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return alpha, gamma
 
 
-def dense_tables(alpha: DataFrame, gamma: DataFrame) -> dict[str, np.ndarray]:
-    """Negative log probabilities of all A^4 four-grams by language. Each language is one bounded row from the executors."""
-    both = alpha.select("lang", "n", "g", F.col("alpha").alias("v"), F.lit(0).alias("kind")).union(gamma.select("lang", "n", F.col("ctx"), F.col("gamma"), F.lit(1)))
+class Model(Mapping):
+    """Negative log probabilities of all A^4 four-grams by language. It travels as the counts' own rows; each worker makes
+    a language's table once, when it meets the first document of it."""
+
+    def __init__(self, rows: dict[str, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]) -> None:
+        self.rows, self.made = rows, {}
+
+    def __getstate__(self) -> dict:
+        return {"rows": self.rows, "made": {}}
 
-    def build(key: tuple, batch: pa.Table) -> pa.Table:
-        n, g, v, kind = (batch.column(c).to_numpy() for c in ("n", "g", "v", "kind"))
-        p = np.full(1, 1 / A, np.float32)
-        for order in (1, 2, 3, 4):
-            back = np.ones(A ** (order - 1), np.float32)
-            m = (n == order) & (kind == 1)
-            back[g[m]] = v[m]
-            q = (back[:, None] * (p.reshape(-1, A) if order > 1 else np.full((1, A), p[0], np.float32))[np.arange(len(back)) % max(1, A ** (order - 2) if order > 1 else 1)]).ravel()
-            m = (n == order) & (kind == 0)
-            q[g[m]] += v[m]
-            p = q
-        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "t": pa.array([(-np.log(np.maximum(p, 1e-12))).astype("<f4").tobytes()], pa.binary())})
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.rows)
 
-    return {r["lang"]: np.frombuffer(r["t"], "<f4") for r in both.groupBy("lang").applyInArrow(build, "lang string, t binary").toLocalIterator()}
+    def __len__(self) -> int:
+        return len(self.rows)
 
+    def of(self, langs: list[str]) -> Model:
+        return Model({k: self.rows[k] for k in langs})
 
-def fit(trusted: DataFrame) -> dict[str, np.ndarray]:
-    """Tables from trusted (text, lang), for languages with enough documents and for all of them (`*`)."""
+    def __getitem__(self, lang: str) -> np.ndarray:
+        if lang not in self.made:
+            parts, p = self.rows[lang], np.full(1, 1 / A, np.float32)
+            for n in (1, 2, 3, 4):
+                back = np.ones(A ** (n - 1), np.float32)
+                at, gamma = parts[n, 1]
+                back[at] = gamma
+                # The lower order's probability of (context without its first symbol, next symbol).
+                low = np.full(A, p[0]) if n == 1 else np.tile(p, A)
+                q = np.repeat(back, A) * low
+                at, alpha = parts[n, 0]
+                q[at] += alpha
+                p = q
+            self.made[lang] = -np.log(np.maximum(p, 1e-12))
+        return self.made[lang]
+
+
+def collected(alpha: DataFrame, gamma: DataFrame) -> Model:
+    """The model on the driver: as many rows as distinct n-grams over the folded alphabet, so bounded for each language."""
+    both = alpha.select("lang", "n", "g", F.col("alpha").alias("v"), F.lit(0).alias("kind")).union(gamma.select("lang", "n", F.col("ctx"), F.col("gamma"), F.lit(1)))
+    t = settle(both, "model").toArrow()
+    langs = t.column("lang").combine_chunks().dictionary_encode()
+    of, (n, g, v, kind) = langs.indices.to_numpy(), (t.column(c).to_numpy() for c in ("n", "g", "v", "kind"))
+    out: dict[str, dict] = {}
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        mine = of == i
+        out[lang] = {(order, k): (g[m], v[m]) for order in (1, 2, 3, 4) for k in (0, 1) for m in [mine & (n == order) & (kind == k)]}
+    return Model(out)
+
+
+def fit(trusted: DataFrame) -> Model:
+    """A model of trusted (text, lang), for languages with enough documents and for all of them (`*`)."""
     many = {r["lang"] for r in trusted.groupBy("lang").count().collect() if r["lang"] and r["count"] >= LEAST_DOCS}
     known = F.when(F.col("lang").isin(*many), F.col("lang")).otherwise("*") if many else F.lit("*")
     counts = trusted.select("text", known.alias("lang")).mapInArrow(counted, "lang string, g int, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
     counts = settle(counts, "counts")
     every = counts.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit("*").alias("lang"), "g", "c")
-    return dense_tables(*interpolated(counts.where("lang <> '*'").unionByName(every)))
+    return collected(*interpolated(counts.where("lang <> '*'").unionByName(every)))
 
 
-def scored(batches: Iterator[pa.RecordBatch], tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def scored(batches: Iterator[pa.RecordBatch], tables: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column("key").to_pylist()
         for a, b, data, offsets in B.blocks(batch.column("text")):
@@ -173,7 +203,7 @@ def assess(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     per, parts = max(1, SHARD_BYTES // (4 * A**4)), None
     names = [*own, "*"]
     for i in range(0, len(names), per):
-        held = spark.sparkContext.broadcast({k: tables[k] for k in names[i : i + per]})
+        held = spark.sparkContext.broadcast(tables.of(names[i : i + per]))
         part = rows if len(names) <= per else rows.where(F.col("key").isin(*names[i : i + per]))
         part = part.mapInArrow(lambda it, held=held: scored(it, held.value), "doc_id long, key string, trusted boolean, nll double")
         parts = part if parts is None else parts.union(part)
