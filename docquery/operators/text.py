@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +20,14 @@ from docquery.plans.filters import Clause, Text
 GAP, MOST_PREFIX_TERMS = 100, 50
 _CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 # A word: letters, digits and marks, joined inside by an apostrophe or dot between letters, or a dot or comma between digits.
-_WORD = re.compile(rf"[{_CJK}]+|(?:(?![{_CJK}])\w)+(?:(?:(?<=[^\W\d_])['’.·:](?=[^\W\d_])|(?<=\d)[.,;'](?=\d))(?:(?![{_CJK}])\w)+)*")
+_WORD = re.compile(rf"[{_CJK}]+|[^\W{_CJK}]+(?:(?:(?<=[^\W\d_])['’.·:](?=[^\W\d_])|(?<=\d)[.,;'](?=\d))[^\W{_CJK}]+)*")
 _IS_CJK = re.compile(rf"[{_CJK}]")
 
 
 def analyze(text: str) -> list[str]:
     """NFKC, case folding, word segments with a letter or digit, overlapping pairs for CJK runs."""
+    if text.isascii():
+        return [w for w in _WORD.findall(text.lower()) if w.strip("_")]
     out = []
     for w in _WORD.findall(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())):
         if _IS_CJK.match(w):
@@ -42,33 +45,55 @@ class TextIndex:
     b: float = 0.75
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch], terms: frozenset[str] | None = None, prefixes: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """(doc, dl, tokens): the document's length and its tokens, of all terms or of the wanted ones."""
     for batch in batches:
         out: list[list[dict]] = []
+        lengths = []
         for texts in batch.column(1).to_pylist():
-            row, base = [], 0
+            row, base, n = [], 0, 0
             for fi, values in enumerate(texts or []):
                 for v in values or []:
                     words = analyze(v) if v is not None else []
-                    row += [{"term": w, "pos": base + i, "field": fi} for i, w in enumerate(words)]
-                    base += len(words) + GAP
+                    row += [{"term": w, "pos": base + i, "field": fi} for i, w in enumerate(words) if terms is None or w in terms or (prefixes and w.startswith(prefixes))]
+                    base, n = base + len(words) + GAP, n + len(words)
             out.append(row)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int64()), ("field", pa.int32())])))], names=["doc", "tokens"])
+            lengths.append(n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int64()), ("field", pa.int32())])))], names=["doc", "dl", "tokens"])
 
 
-def token_table(df: DataFrame, pk: str, index: TextIndex) -> DataFrame:
-    """(doc, term, pos, field), one row a token; the derived table of a text index."""
+def _texts(df: DataFrame, pk: str, index: TextIndex) -> DataFrame:
     texts = []
     for f in index.fields:
         x = find_path(df.schema, f)
         texts.append(x.col if x.kind == "arr" and str(x.dtype.elementType) == "StringType()" else F.array(x.col) if x.kind == "str" else F.array().cast("array<string>"))
-    rows = df.select(F.col(f"`{pk}`").alias("doc"), F.array(*texts).alias("texts"))
-    t = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(_tokens, f"doc {t}, tokens array<struct<term:string,pos:bigint,field:int>>").select("doc", F.explode("tokens").alias("t")).select("doc", "t.term", "t.pos", "t.field")
+    return df.select(F.col(f"`{pk}`").alias("doc"), F.array(*texts).alias("texts"))
+
+
+def _schema(rows: DataFrame) -> str:
+    return f"doc {rows.schema['doc'].dataType.simpleString()}, dl long, tokens array<struct<term:string,pos:bigint,field:int>>"
+
+
+def token_table(df: DataFrame, pk: str, index: TextIndex) -> DataFrame:
+    """(doc, term, pos, field), one row a token; the derived table of a text index."""
+    rows = _texts(df, pk, index)
+    return rows.mapInArrow(_tokens, _schema(rows)).select("doc", F.explode("tokens").alias("t")).select("doc", "t.term", "t.pos", "t.field")
+
+
+def wanted_tokens(df: DataFrame, pk: str, index: TextIndex, query: Text) -> DataFrame:
+    """(doc, dl, tokens) of one pass over the texts; only tokens that the query can use are kept."""
+    words = [(c, analyze(c.text)) for c in query.clauses]
+    terms = frozenset(w for c, ws in words if not c.prefix for w in ws)
+    prefixes = tuple(ws[-1] for c, ws in words if c.prefix and ws)
+    rows = _texts(df, pk, index)
+    return rows.mapInArrow(lambda it: _tokens(it, terms, prefixes), _schema(rows)).where("dl > 0")
+
 
+def score(tokens: DataFrame, query: Text, index: TextIndex, dl: DataFrame | None = None) -> DataFrame:
+    """(doc, _score) of the documents that match, higher is better. Only the query's terms go through the driver.
 
-def score(tokens: DataFrame, query: Text, index: TextIndex) -> DataFrame:
-    """(doc, _score) of the documents that match, higher is better. Only the query's terms go through the driver."""
+    dl: (doc, dl) of all documents with tokens, if `tokens` has only those that the query can use.
+    """
     k1, b = index.k1 or 1.2, index.b or 0.75
     clauses: list[tuple[Clause, list[str]]] = []
     for c in query.clauses:
@@ -77,7 +102,7 @@ def score(tokens: DataFrame, query: Text, index: TextIndex) -> DataFrame:
             clauses.append((c, words))
     if not any(c.role != "not" for c, _ in clauses):
         return tokens.select("doc", F.lit(0.0).alias("_score")).limit(0)
-    dl = tokens.groupBy("doc").agg(F.count(F.lit(1)).alias("dl"))
+    dl = tokens.groupBy("doc").agg(F.count(F.lit(1)).alias("dl")) if dl is None else dl
     stats = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).first()
     n, avg = stats["n"], stats["avg"] or 1.0
     wanted = {w for c, ws in clauses if not c.prefix for w in ws}
@@ -129,5 +154,9 @@ def score(tokens: DataFrame, query: Text, index: TextIndex) -> DataFrame:
 
 def search(df: DataFrame, pk: str, query: Text, index: TextIndex, tokens: DataFrame | None = None) -> DataFrame:
     """Rows of df that match, with _score."""
-    found = score(token_table(df, pk, index) if tokens is None else tokens, query, index)
+    if tokens is not None:
+        found = score(tokens, query, index)
+    else:  # the texts are analysed once, for the statistics and for the scores
+        once = wanted_tokens(df, pk, index, query).persist(StorageLevel.MEMORY_AND_DISK)
+        found = score(once.select("doc", F.explode("tokens").alias("t")).select("doc", "t.term", "t.pos", "t.field"), query, index, once.select("doc", "dl"))
     return df.join(found.withColumnRenamed("doc", "__doc"), F.col(f"`{pk}`") == F.col("__doc")).drop("__doc")
