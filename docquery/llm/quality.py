@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquery.llm import blocks as B
+from docquery.llm import word_model
 from docquery.llm.common import id_and_text, settle, small, without
 
 A = 44
@@ -184,11 +185,11 @@ def scored(batches: Iterator[pa.RecordBatch], tables: Model) -> Iterator[pa.Reco
                 total[some] = np.add.reduceat(cost, first[:-1][some])
                 total[some[-1]] = cost[first[some[-1]] : first[some[-1] + 1]].sum()
                 total[some] /= n[some]
-            yield batch.slice(a, b - a).select(["doc_id", "key", "trusted"]).append_column("nll", pa.array(total, pa.float64(), mask=np.isnan(total)))
+            yield batch.slice(a, b - a).select(["doc_id", "key", "trusted", "good", "id"]).append_column("nll", pa.array(total, pa.float64(), mask=np.isnan(total)))
 
 
 def assess(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """doc_id, model, perplexity, least, most, accepted of every row of docs; texts labelled with quality 1 are trusted."""
+    """doc_id, model, perplexities and limits of both models, accepted of every row of docs; texts labelled with quality 1 are trusted."""
     spark = docs.sparkSession
     good = settle(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).distinct(), "trusted")
     rows = id_and_text(docs, F.col("lang").cast("string").alias("lang"))
@@ -197,22 +198,39 @@ def assess(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     out = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) == 0
     tables = fit(rows.where(F.col("trusted") & ~out & F.col("text").isNotNull()).select("text", "lang"))
     if not tables:
-        return rows.select("doc_id", F.lit(None).cast("string").alias("model"), *(F.lit(None).cast("double").alias(c) for c in ("perplexity", "least", "most")), F.lit(True).alias("accepted"))
+        return rows.select("doc_id", F.lit(None).cast("string").alias("model"), *(F.lit(None).cast("double").alias(c) for c in ("perplexity", "least", "most", "word_perplexity", "word_least", "word_most")), F.lit(True).alias("accepted"))
     own = sorted(set(tables) - {"*"})
-    rows = rows.withColumn("key", F.when(F.col("lang").isin(*own), F.col("lang")).otherwise("*") if own else F.lit("*")).withColumn("trusted", F.col("trusted") & out).drop("lang")
+    key = F.when(F.col("lang").isin(*own), F.col("lang")).otherwise("*") if own else F.lit("*")
+    rows = rows.withColumn("key", key).withColumn("good", F.col("trusted")).withColumn("trusted", F.col("trusted") & out).drop("lang").withColumn("id", F.xxhash64("text", "key", "good"))
+    train = rows.where("good AND text IS NOT NULL")
+    every = train.select("text", F.lit("*").alias("lang"))
+    train = train.where("key <> '*'").select("text", F.col("key").alias("lang"))
+    if not rows.where("key = '*'").isEmpty():  # without such rows nothing asks for the model of all languages
+        train = train.unionByName(every)
+    words = word_model.costs(rows.select("id", "text", "key", F.col("good").alias("trusted")), train)
     per, parts = max(1, SHARD_BYTES // (4 * A**4)), None
     names = [*own, "*"]
     for i in range(0, len(names), per):
         held = spark.sparkContext.broadcast(tables.of(names[i : i + per]))
         part = rows if len(names) <= per else rows.where(F.col("key").isin(*names[i : i + per]))
-        part = part.mapInArrow(lambda it, held=held: scored(it, held.value), "doc_id long, key string, trusted boolean, nll double")
+        part = part.mapInArrow(lambda it, held=held: scored(it, held.value), "doc_id long, key string, trusted boolean, good boolean, id long, nll double")
         parts = part if parts is None else parts.union(part)
-    marks = settle(parts, "scores")
-    quantiles = marks.where("trusted AND nll IS NOT NULL").groupBy("key").agg(F.percentile_approx("nll", [low, high], 10_000).alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
-    every = marks.where("trusted AND nll IS NOT NULL").agg(F.percentile_approx("nll", [low, high], 10_000).alias("all_q"))
-    limit = marks.join(F.broadcast(quantiles.select("key", "q")), "key", "left").crossJoin(F.broadcast(every)).withColumn("q", F.coalesce("q", "all_q"))
-    least, most = F.col("q")[0] - SLACK, F.col("q")[1] + SLACK
-    return limit.select("doc_id", F.col("key").alias("model"), F.exp("nll").alias("perplexity"), F.exp(least).alias("least"), F.exp(most).alias("most"), F.coalesce((F.col("nll") >= least) & (F.col("nll") <= most), F.lit(True)).alias("accepted"))
+    marks = settle(parts.join(words.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").drop("id", "of"), "scores")
+    limits = {"nll": bounds(marks.where("trusted"), "nll", low, high), "words_nll": bounds(marks.where("good"), "words_nll", low, high)}
+    accepted = F.lit(True)
+    for c, (least, most) in limits.items():
+        marks = marks.crossJoin(F.broadcast(most)).join(F.broadcast(least), "key", "left").withColumn(f"q_{c}", F.coalesce(f"q_{c}", f"all_{c}"))
+        accepted = accepted & F.coalesce((F.col(c) >= F.col(f"q_{c}")[0] - SLACK) & (F.col(c) <= F.col(f"q_{c}")[1] + SLACK), F.lit(True))
+    shown = lambda c: (F.exp(c), F.exp(F.col(f"q_{c}")[0] - SLACK), F.exp(F.col(f"q_{c}")[1] + SLACK))
+    names = ["perplexity", "least", "most", "word_perplexity", "word_least", "word_most"]
+    return marks.select("doc_id", F.col("key").alias("model"), *(x.alias(n) for n, x in zip(names, [*shown("nll"), *shown("words_nll")], strict=True)), accepted.alias("accepted"))
+
+
+def bounds(marks: DataFrame, c: str, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+    """(key, q_c) of languages with enough scored documents, and one row all_c of all of them."""
+    marks = marks.where(f"{c} IS NOT NULL")
+    q = F.percentile_approx(c, [low, high], 10_000)
+    return marks.groupBy("key").agg(q.alias(f"q_{c}"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS).drop("n"), marks.agg(q.alias(f"all_{c}"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
