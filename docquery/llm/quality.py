@@ -8,6 +8,9 @@ rows that occur) for one pass over its languages.
 
 A tenth of the trusted documents stays out of the counts; quantiles of their perplexities are the thresholds.
 
+What folding and four bytes cannot tell is left to a second model, pairs of unfolded words (word_model). Its limits come from
+all trusted documents, scored without their own counts. A document has to lie within the limits of both.
+
 Defined results: languages without a model of their own (fewer than LEAST_DOCS trusted documents), and null ones, use the
 model and thresholds of all languages (`*`). Texts of fewer than four bytes have no perplexity and are accepted, as are all
 documents if no text is trusted. Repeated rows are judged alike. Empty tables give empty results. Further columns stay in
@@ -30,7 +33,7 @@ from docquery.llm.common import id_and_text, settle, small, without
 A = 44
 SHARD_BYTES = 256 << 20
 LEAST_DOCS = 30
-LOW, HIGH = 0.001, 0.999
+LOW, HIGH = 0.005, 0.995
 #: A document may lie this far outside the quantiles (in nats a symbol) before it is rejected.
 SLACK = 0.05
 

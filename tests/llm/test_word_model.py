@@ -67,3 +67,13 @@ def test_quality_tells_letters_that_share_a_code(spark):
     labels = spark.createDataFrame([(i, 1) for i, *_ in good], "doc_id long, quality long")
     out = {r.doc_id: r.accepted for r in quality.assess(data, labels).collect()}
     assert not any(out[i] for i, *_ in bad) and sum(out[i] for i, *_ in good) >= 290
+
+
+def test_limits_at_a_larger_size(spark):
+    """Of 571 documents labelled bad and 3,409 labelled good."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality.assess(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").groupBy("quality", "accepted").count().collect()
+    n = {(r["quality"], r["accepted"]): r["count"] for r in out}
+    print(n)
+    assert n[0, True] < 0.15 * 571 and n[1, False] < 0.03 * 3409
