@@ -1,25 +1,31 @@
-"""Quality by an interpolated modified Kneser-Ney model of trusted text, thresholded by quantiles of each language.
+"""Quality by interpolated modified Kneser-Ney models of trusted text, thresholded by quantiles of each language.
 
-The model has four orders over a folded byte alphabet of 44 symbols, so each table has at most 44^4 rows however large the
-corpus is. Counts come from all trusted text: summed up by each task, then shuffled by (language, n-gram). Discounts,
-context totals and back-off weights are joined to the counts in shards by (language, context). Documents meet the model of
-their own language: models are dealt into shards of at most SHARD_BYTES of a worker's tables, each broadcast (as the
-rows that occur) for one pass over its languages.
+Two models judge a document, and it has to lie within the limits of both:
 
-A tenth of the trusted documents stays out of the counts; quantiles of their perplexities are the thresholds.
+* Pairs of unfolded words (word_model): a table that grows with the trusted text, joined in shards to the documents' counts.
+* Four-grams over a folded byte alphabet of 44 symbols, for the shape of words that the first one does not know. A language
+  has at most 44^4 of them however large the corpus is, so one task makes a language's table from its summed counts. Tables
+  travel as 16-bit logarithms, 7.5 MB each; they are dealt into shards of at most SHARD_BYTES, each broadcast for one pass over
+  its languages and destroyed when that is written.
 
-What folding and four bytes cannot tell is left to a second model, pairs of unfolded words (word_model). Its limits come from
-all trusted documents, scored without their own counts. A document has to lie within the limits of both.
+No document is judged by its own counts. The first model leaves a trusted document's own counts out of its score. For the
+second, texts fall into two halves (copies into one), and each half is scored by the trusted texts of the other. So every
+trusted document gives counts and limits, and trusted and other documents are measured alike.
 
-Defined results: languages without a model of their own (fewer than LEAST_DOCS trusted documents), and null ones, use the
-model and thresholds of all languages (`*`). Texts of fewer than four bytes have no perplexity and are accepted, as are all
-documents if no text is trusted. Repeated rows are judged alike. Empty tables give empty results. Further columns stay in
-what the filter returns and are ignored otherwise.
+Limits are quantiles of a language's trusted documents of like length (a class for each factor of four), as means over few
+symbols spread more than those over many; a class of fewer than LEAST_DOCS has the quantiles of its whole language.
+
+Defined results: languages without a model of their own (fewer than LEAST_DOCS trusted documents, or not among the
+MOST_LANGUAGES most frequent), and null ones, use the model of all languages (`*`); its limits are quantiles of the trusted
+documents among them, or of all trusted ones if those are fewer than LEAST_DOCS. Texts of fewer than four bytes have no
+perplexity, texts without words no word perplexity; what has none is accepted in that respect, as are all documents if no
+text is trusted. Very long texts are scored whole, by blocks. Scores equal to a limit are accepted. Repeated rows are judged
+alike. Empty tables give empty results. Further columns stay in what the filter returns and are ignored otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +34,18 @@ from pyspark.sql import functions as F
 
 from docquery.llm import blocks as B
 from docquery.llm import word_model
-from docquery.llm.common import id_and_text, settle, small, without
+from docquery.llm.common import discard, id_and_text, settle, small, without
 
 A = 44
-SHARD_BYTES = 256 << 20
-LEAST_DOCS = 30
+SHARD_BYTES = 128 << 20
+LEAST_DOCS, MOST_LANGUAGES = 30, 256
 LOW, HIGH = 0.005, 0.995
-#: A document may lie this far outside the quantiles (in nats a symbol) before it is rejected.
+#: A document may lie this far outside the quantiles (in nats a symbol or word) before it is rejected.
 SLACK = 0.05
+#: Dense counts of so many (language, half) are held by a task at a time.
+HELD = 4
+#: A step of the 16-bit logarithms: -log(1e-12) is 65,535 steps.
+STEP = np.float32(27.631021 / 65535)
 
 _SYMBOL = np.full(256, 32, np.int32)  # other ASCII
 _SYMBOL[97:123] = np.arange(26)
@@ -66,129 +76,122 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, g, c): all four-grams of a task's texts; a few languages' dense tables are held at a time."""
-    held: dict[str, np.ndarray] = {}
+    """(lang, half, g, c): all four-grams of a task's texts; a few dense tables are held at a time."""
+    held: dict[tuple[str, int], np.ndarray] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, dense in held.items():
+        while held:
+            (lang, half), dense = held.popitem()
             g = np.flatnonzero(dense)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(dense[g].astype(np.int64))], names=["lang", "g", "c"])
-        held.clear()
+            lang_ = pa.DictionaryArray.from_arrays(np.zeros(len(g), np.int8), pa.array([lang])).dictionary_decode()
+            yield pa.RecordBatch.from_arrays([lang_, pa.array(np.full(len(g), half, np.int32)), pa.array(g.astype(np.int32)), pa.array(dense[g].astype(np.int64))], names=["lang", "half", "g", "c"])
 
     for batch in batches:
-        langs = batch.column("lang").to_pylist()
+        names = list(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True))
         for a, b, data, offsets in B.blocks(batch.column("text")):
             codes, first = grams(data, offsets)
-            of = np.array(langs[a:b], object)
-            for lang in dict.fromkeys(langs[a:b]):
-                if lang not in held and len(held) >= 8:
+            which = {k: i for i, k in enumerate(dict.fromkeys(names[a:b]))}
+            of = np.repeat(np.array([which[k] for k in names[a:b]], np.int32), np.diff(first))
+            for k, i in which.items():
+                if k not in held and len(held) >= HELD:
                     yield from flush()
-                dense = held.setdefault(lang, np.zeros(A**4, np.int32))
-                mine = np.repeat(of == lang, np.diff(first))
-                np.add(dense, np.bincount(codes[mine], minlength=A**4), out=dense, casting="unsafe")
+                dense = held.setdefault(k, np.zeros(A**4, np.int32))
+                g, c = np.unique(codes[of == i], return_counts=True)
+                dense[g] += c.astype(np.int32)
     yield from flush()
 
 
-def interpolated(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, n, g, alpha) and (lang, n, ctx, gamma) of all orders from (lang, g, c) of the highest one."""
-    alphas, gammas = [], []
-    for n in (4, 3, 2, 1):
-        counts = settle(counts, f"counts{n}")
-        some = lambda k: F.sum((F.col("c") == k).cast("long"))
-        of = counts.groupBy("lang").agg(*(some(k).alias(f"n{k}") for k in (1, 2, 3, 4)))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        d = [F.least(F.lit(float(k)), F.greatest(F.lit(0.05), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.5 * k)))) for k in (1, 2, 3)]
-        of = of.select("lang", *(F.when(F.col("n1") > 0, x).otherwise(0.5).alias(f"d{k}") for k, x in enumerate(d, 1)))
-        ctx = counts.withColumn("ctx", F.floor(F.col("g") / A).cast("int"))
-        sums = ctx.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), some(1).alias("m1"), some(2).alias("m2"), F.sum((F.col("c") > 2).cast("long")).alias("m3"))
-        sums = sums.join(F.broadcast(of), "lang")  # one row for each language
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        alphas.append(ctx.join(sums, ["lang", "ctx"]).select("lang", F.lit(n).alias("n"), "g", (F.greatest(F.lit(0.0), F.col("c") - cut) / F.col("total")).cast("float").alias("alpha")))
-        gammas.append(sums.select("lang", F.lit(n).alias("n"), "ctx", ((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")).cast("float").alias("gamma")))
-        # Lower orders count in how many contexts an n-gram occurs, not how often.
-        counts = counts.groupBy("lang", (F.col("g") % (A ** (n - 1))).cast("int").alias("g")).agg(F.count(F.lit(1)).alias("c"))
-    alpha, gamma = alphas[0], gammas[0]
-    for x, y in zip(alphas[1:], gammas[1:], strict=True):
-        alpha, gamma = alpha.union(x), gamma.union(y)
-    return alpha, gamma
-
-
-class Model(Mapping):
-    """Negative log probabilities of all A^4 four-grams by language. It travels as the counts' own rows; each worker makes
-    a language's table once, when it meets the first document of it."""
-
-    def __init__(self, rows: dict[str, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]) -> None:
-        self.rows, self.made = rows, {}
-
-    def __getstate__(self) -> dict:
-        return {"rows": self.rows, "made": {}}
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self.rows)
-
-    def __len__(self) -> int:
-        return len(self.rows)
-
-    def of(self, langs: list[str]) -> Model:
-        return Model({k: self.rows[k] for k in langs})
-
-    def __getitem__(self, lang: str) -> np.ndarray:
-        if lang not in self.made:
-            parts, p = self.rows[lang], np.full(1, 1 / A, np.float32)
-            for n in (1, 2, 3, 4):
-                back = np.ones(A ** (n - 1), np.float32)
-                at, gamma = parts[n, 1]
-                back[at] = gamma
-                # The lower order's probability of (context without its first symbol, next symbol).
-                low = np.full(A, p[0]) if n == 1 else np.tile(p, A)
-                q = np.repeat(back, A) * low
-                at, alpha = parts[n, 0]
-                q[at] += alpha
-                p = q
-            self.made[lang] = -np.log(np.maximum(p, 1e-12))
-        return self.made[lang]
-
-
-def collected(alpha: DataFrame, gamma: DataFrame) -> Model:
-    """The model on the driver: as many rows as distinct n-grams over the folded alphabet, so bounded for each language."""
-    both = alpha.select("lang", "n", "g", F.col("alpha").alias("v"), F.lit(0).alias("kind")).union(gamma.select("lang", "n", F.col("ctx"), F.col("gamma"), F.lit(1)))
-    t = settle(both, "model").toArrow()
-    langs = t.column("lang").combine_chunks().dictionary_encode()
-    of, (n, g, v, kind) = langs.indices.to_numpy(), (t.column(c).to_numpy() for c in ("n", "g", "v", "kind"))
-    out: dict[str, dict] = {}
-    for i, lang in enumerate(langs.dictionary.to_pylist()):
-        mine = of == i
-        out[lang] = {(order, k): (g[m], v[m]) for order in (1, 2, 3, 4) for k in (0, 1) for m in [mine & (n == order) & (kind == k)]}
-    return Model(out)
-
-
-def fit(trusted: DataFrame) -> Model:
-    """A model of trusted (text, lang), for languages with enough documents and for all of them (`*`)."""
-    many = {r["lang"] for r in trusted.groupBy("lang").count().collect() if r["lang"] and r["count"] >= LEAST_DOCS}
-    known = F.when(F.col("lang").isin(*many), F.col("lang")).otherwise("*") if many else F.lit("*")
-    counts = trusted.select("text", known.alias("lang")).mapInArrow(counted, "lang string, g int, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    counts = settle(counts, "counts")
-    every = counts.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit("*").alias("lang"), "g", "c")
-    return collected(*interpolated(counts.where("lang <> '*'").unionByName(every)))
-
-
-def scored(batches: Iterator[pa.RecordBatch], tables: Model) -> Iterator[pa.RecordBatch]:
+def logarithms(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Negative log probabilities, in steps, of all A^4 four-grams from the counts c of the distinct ones g."""
+    levels = [(g, c)]
+    for n in (3, 2, 1):  # lower orders count in how many contexts an n-gram occurs, not how often
+        levels.append(np.unique(levels[-1][0] % A**n, return_counts=True))
+    p = np.full(A, 1 / A, np.float32)
+    for n, (g, c) in enumerate(levels[::-1], 1):
+        of = [int((c == k).sum()) for k in (1, 2, 3, 4)]
+        y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.0
+        d = np.array([min(float(k), max(0.05, k - (k + 1) * y * of[k] / of[k - 1] if of[k - 1] else 0.5 * k)) if of[0] else 0.5 for k in (1, 2, 3)])
+        cut = d[np.minimum(c, 3) - 1]
+        ctx = g // A
+        total, mass = np.bincount(ctx, c, A ** (n - 1)), np.bincount(ctx, cut, A ** (n - 1))
+        back = np.where(total > 0, mass / np.maximum(total, 1), 1.0).astype(np.float32)
+        # The lower order's probability of (context without its first symbol, next symbol).
+        q = (p if n == 1 else np.tile(p, A)) * np.repeat(back, A)
+        q[g] += (np.maximum(0, c - cut) / total[ctx]).astype(np.float32)
+        p = q
+    return np.round(-np.log(np.maximum(p, 1e-12)) / STEP).astype(np.uint16)
+
+
+def made(t: pa.Table) -> pa.Table:
+    c = np.bincount(t.column("g").to_numpy(), t.column("c").to_numpy(), A**4)
+    g = np.flatnonzero(c)
+    return pa.table({"lang": [t.column("lang")[0].as_py()], "part": pa.array([t.column("part")[0].as_py()], pa.int32()), "steps": pa.array([logarithms(g, c[g].astype(np.int64)).tobytes()], pa.binary())})
+
+
+#: Parts of a language's model: 0 and 1 for the texts of that half (counts of the other one); BOTH, with all counts.
+BOTH = 2
+
+
+def languages(trusted: DataFrame) -> list[str]:
+    """Languages with a model of their own: a bounded number, the most frequent first."""
+    many = trusted.where("lang IS NOT NULL").groupBy("lang").count().where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    return [r["lang"] for r in many.collect()]
+
+
+def model(trusted: DataFrame, names: list[str], every: bool, whole: bool = False) -> DataFrame:
+    """(lang, part, steps) of (text, lang): the named languages and, if asked for, all of them together (`*`); whole: of
+    all counts, not of halves."""
+    known = F.when(F.col("lang").isin(*names), F.col("lang")).otherwise("*") if names else F.lit("*")
+    rows = trusted.where("text IS NOT NULL").select("text", known.alias("lang"), half(F.col("text")).alias("half"))
+    counts = settle((rows if every else rows.where("lang <> '*'")).mapInArrow(counted, "lang string, half int, g int, c long").groupBy("lang", "half", "g").agg(F.sum("c").alias("c")), "counts")
+    both = counts.where("lang <> '*'")
+    if every:
+        both = both.unionByName(counts.groupBy("half", "g").agg(F.sum("c").alias("c")).withColumn("lang", F.lit("*")))
+    parts = both.select("lang", (F.lit(BOTH) if whole else 1 - F.col("half")).alias("part"), "g", "c")
+    out = settle(parts.groupBy("lang", "part").applyInArrow(made, "lang string, part int, steps binary"), "model")
+    discard(counts)
+    return out
+
+
+def half(text: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2)).cast("int")
+
+
+def held_tables(tables: DataFrame, names: list[str]) -> dict[tuple[str, int], np.ndarray]:
+    """At most two tables of each of the names."""
+    return {(r["lang"], r["part"]): np.frombuffer(r["steps"], np.uint16) for r in tables.where(F.col("lang").isin(*names)).toLocalIterator()}
+
+
+def fit(trusted: DataFrame) -> dict[str, np.ndarray]:
+    """Negative log probabilities of four-grams by language, from (text, lang)."""
+    names = languages(trusted)
+    return {lang: t * STEP for (lang, _), t in held_tables(model(trusted, names, True, True), [*names, "*"]).items()}
+
+
+def scored(batches: Iterator[pa.RecordBatch], tables: dict[tuple[str, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = batch.column("key").to_pylist()
+        keys = list(zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), strict=True))
         for a, b, data, offsets in B.blocks(batch.column("text")):
             codes, first = grams(data, offsets)
-            total, of = np.full(b - a, np.nan), np.array(keys[a:b], object)
+            which = {k: i for i, k in enumerate(dict.fromkeys(keys[a:b]))}
+            n, total = np.diff(first), np.full(b - a, np.nan)
+            of = np.repeat(np.array([which[k] for k in keys[a:b]], np.int32), n)
             cost = np.zeros(len(codes) + 1)
-            for key in dict.fromkeys(keys[a:b]):
-                mine = np.flatnonzero(np.repeat(of == key, np.diff(first)))
-                cost[mine] = tables[key][codes[mine]]
-            n = np.diff(first)
+            for k, i in which.items():
+                steps = tables.get(k)  # none if all trusted texts of a language are in this half
+                if steps is not None:
+                    at = np.flatnonzero(of == i)
+                    cost[at] = steps[codes[at]]
             some = np.flatnonzero(n)
             if len(some):
                 total[some] = np.add.reduceat(cost, first[:-1][some])
                 total[some[-1]] = cost[first[some[-1]] : first[some[-1] + 1]].sum()
-                total[some] /= n[some]
-            yield batch.slice(a, b - a).select(["doc_id", "key", "trusted", "good", "id"]).append_column("nll", pa.array(total, pa.float64(), mask=np.isnan(total)))
+                total[some] *= float(STEP) / n[some]
+            total[[k not in tables for k in keys[a:b]]] = np.nan
+            yield batch.slice(a, b - a).select(["doc_id", "key", "good", "id"]).append_column("length", pa.array((np.log2(np.maximum(n, 1)) / 2).astype(np.int32))).append_column("nll", pa.array(total, pa.float64(), mask=np.isnan(total)))
+
+
+FIGURES = ["perplexity", "least", "most", "word_perplexity", "word_least", "word_most"]
 
 
 def assess(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -196,44 +199,45 @@ def assess(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     spark = docs.sparkSession
     good = settle(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).distinct(), "trusted")
     rows = id_and_text(docs, F.col("lang").cast("string").alias("lang"))
-    rows = rows.join(small(good, good.count()), F.col("doc_id") == F.col("good_id"), "left")
-    rows = rows.withColumn("trusted", F.col("good_id").isNotNull()).drop("good_id")
-    out = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) == 0
-    tables = fit(rows.where(F.col("trusted") & ~out & F.col("text").isNotNull()).select("text", "lang"))
-    if not tables:
-        return rows.select("doc_id", F.lit(None).cast("string").alias("model"), *(F.lit(None).cast("double").alias(c) for c in ("perplexity", "least", "most", "word_perplexity", "word_least", "word_most")), F.lit(True).alias("accepted"))
-    own = sorted(set(tables) - {"*"})
-    key = F.when(F.col("lang").isin(*own), F.col("lang")).otherwise("*") if own else F.lit("*")
-    rows = rows.withColumn("key", key).withColumn("good", F.col("trusted")).withColumn("trusted", F.col("trusted") & out).drop("lang").withColumn("id", F.xxhash64("text", "key", "good"))
+    rows = rows.join(small(good, good.count()), F.col("doc_id") == F.col("good_id"), "left").withColumn("good", F.col("good_id").isNotNull()).drop("good_id")
+    trusted = rows.where("good AND text IS NOT NULL").select("text", "lang")
+    if trusted.isEmpty():
+        return rows.select("doc_id", F.lit(None).cast("string").alias("model"), *(F.lit(None).cast("double").alias(c) for c in FIGURES), F.lit(True).alias("accepted"))
+    own = languages(trusted)
+    rows = rows.withColumn("key", F.when(F.col("lang").isin(*own), F.col("lang")).otherwise("*") if own else F.lit("*"))
+    every = not rows.where("key = '*'").isEmpty()  # without such rows nothing asks for the model of all languages
+    tables = model(trusted, own, every)
+    rows = rows.withColumn("part", half(F.coalesce("text", F.lit("")))).drop("lang").withColumn("id", F.xxhash64("text", "key", "good"))
     train = rows.where("good AND text IS NOT NULL")
-    every = train.select("text", F.lit("*").alias("lang"))
-    train = train.where("key <> '*'").select("text", F.col("key").alias("lang"))
-    if not rows.where("key = '*'").isEmpty():  # without such rows nothing asks for the model of all languages
-        train = train.unionByName(every)
-    words = word_model.costs(rows.select("id", "text", "key", F.col("good").alias("trusted")), train)
-    per, parts = max(1, SHARD_BYTES // (4 * A**4)), None
-    names = [*own, "*"]
+    words = train.where("key <> '*'").select("text", F.col("key").alias("lang"))
+    if every:
+        words = words.unionByName(train.select("text", F.lit("*").alias("lang")))
+    words = word_model.costs(rows.select("id", "text", "key", F.col("good").alias("trusted")), words)
+    names, per, parts = [*own, *["*"] * every], max(1, SHARD_BYTES // (4 * A**4)), None
     for i in range(0, len(names), per):
-        held = spark.sparkContext.broadcast(tables.of(names[i : i + per]))
+        held = spark.sparkContext.broadcast(held_tables(tables, names[i : i + per]))
         part = rows if len(names) <= per else rows.where(F.col("key").isin(*names[i : i + per]))
-        part = part.mapInArrow(lambda it, held=held: scored(it, held.value), "doc_id long, key string, trusted boolean, good boolean, id long, nll double")
+        part = settle(part.mapInArrow(lambda it, held=held: scored(it, held.value), "doc_id long, key string, good boolean, id long, length int, nll double"), "scores")
+        held.destroy()
         parts = part if parts is None else parts.union(part)
-    marks = settle(parts.join(words.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").drop("id", "of"), "scores")
-    limits = {"nll": bounds(marks.where("trusted"), "nll", low, high), "words_nll": bounds(marks.where("good"), "words_nll", low, high)}
+    discard(tables)
+    marks = settle(parts.join(words.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").drop("id", "of"), "marks")
     accepted = F.lit(True)
-    for c, (least, most) in limits.items():
-        marks = marks.crossJoin(F.broadcast(most)).join(F.broadcast(least), "key", "left").withColumn(f"q_{c}", F.coalesce(f"q_{c}", f"all_{c}"))
+    for c in ("nll", "words_nll"):
+        by_length, by_key, every = bounds(marks.where("good"), c, low, high)
+        marks = marks.join(F.broadcast(by_length), ["key", "length"], "left").join(F.broadcast(by_key), "key", "left").withColumn(f"q_{c}", F.coalesce(f"l_{c}", f"k_{c}", F.lit(every).cast("array<double>")))
         accepted = accepted & F.coalesce((F.col(c) >= F.col(f"q_{c}")[0] - SLACK) & (F.col(c) <= F.col(f"q_{c}")[1] + SLACK), F.lit(True))
     shown = lambda c: (F.exp(c), F.exp(F.col(f"q_{c}")[0] - SLACK), F.exp(F.col(f"q_{c}")[1] + SLACK))
-    names = ["perplexity", "least", "most", "word_perplexity", "word_least", "word_most"]
-    return marks.select("doc_id", F.col("key").alias("model"), *(x.alias(n) for n, x in zip(names, [*shown("nll"), *shown("words_nll")], strict=True)), accepted.alias("accepted"))
+    return marks.select("doc_id", F.col("key").alias("model"), *(x.alias(n) for n, x in zip(FIGURES, [*shown("nll"), *shown("words_nll")], strict=True)), accepted.alias("accepted"))
 
 
-def bounds(marks: DataFrame, c: str, low: float, high: float) -> tuple[DataFrame, DataFrame]:
-    """(key, q_c) of languages with enough scored documents, and one row all_c of all of them."""
+def bounds(marks: DataFrame, c: str, low: float, high: float) -> tuple[DataFrame, DataFrame, list[float] | None]:
+    """Quantiles by language and length, and by language (some 30 rows a language), and those of all documents."""
     marks = marks.where(f"{c} IS NOT NULL")
-    q = F.percentile_approx(c, [low, high], 10_000)
-    return marks.groupBy("key").agg(q.alias(f"q_{c}"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS).drop("n"), marks.agg(q.alias(f"all_{c}"))
+    q, n = F.percentile_approx(c, [low, high], 10_000), F.count(F.lit(1)).alias("n")
+    by_length = marks.groupBy("key", "length").agg(q.alias(f"l_{c}"), n).where(F.col("n") >= LEAST_DOCS).drop("n")
+    by_key = marks.groupBy("key").agg(q.alias(f"k_{c}"), n).where(f"key <> '*' OR n >= {LEAST_DOCS}").drop("n")
+    return by_length, by_key, marks.agg(q).first()[0]
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:

@@ -3,11 +3,18 @@
 A text is a cycle: one mark, its words between ASCII white space byte for byte, and the mark again. So each word is once the
 next word and once the context, and a text's cost is a sum over its distinct words and pairs, each looked up on its own:
 
-    cost = words * unknown - sum n(w) * known(w) - sum n(a, b) * log(1 + (c(a, b) - D) / (total(a) * gamma(a) * p(b)))
+    cost = words * unknown - sum n(w) * known(w) - sum n(a, b) * log(1 + (c(a, b) - D) / (mass(a) * p(b)))
 
-with known(w) = unknown + log p(w) + log gamma(w), and p the continuation distribution over pairs. Nothing is gathered
-on the driver but three discounts and two numbers a language. Documents' pre-aggregated (key, count) rows travel packed, by
-ranges of keys, to the model's rows of the same keys; a shard of the key space holds at most about SHARD_BYTES of them.
+with mass(a) what discounting takes off the counts of context a, p the continuation distribution over pairs, and known(w) =
+unknown + log p(w) + log (mass(w) / total(w)). Pairs and words are known by 64-bit hashes; words carry their language's.
+
+The key space is cut into ranges of bounded size. Rows of a range travel packed: sorted keys as differences, byte planes
+together, compressed, some six bytes a row. Counts of a range are merged by one task; what it needs to know of its words (mass
+and continuations) comes from the ranges of the words, which have summed them over all pairs. Documents' pre-aggregated (key,
+document, count) rows meet the counts range by range, in PASSES passes over the ranges, so that only a share of them is on disk.
+
+Keys that occur so often that at most HOT can, are broadcast with their values and never shuffled (a heavy-hitter split):
+no range has a hot key of the documents. On the driver are HOT words and pairs at most and eight numbers a language.
 
 Trusted texts are scored without their own counts: c less the text's own n, and a word found nowhere else is unknown. Totals and
 continuation counts stay as they are.
@@ -25,12 +32,70 @@ from pyspark.sql import functions as F
 from docquery.llm import blocks as B
 from docquery.llm.common import discard, settle
 
-#: Bytes of packed document rows in one shard, and in one of its ranges.
-SHARD_BYTES, RANGE_BYTES = 300 << 20, 48 << 20
+#: Passes over the documents; bytes of packed rows in a range, of some 1.5 a byte of text; at least so many ranges a pass.
+PASSES, RANGE_BYTES, LEAST_RANGES = 4, 64 << 20, 6
+#: At most so many words, and so many pairs, are broadcast.
+HOT = 1 << 17
 #: Equally likely words of the lowest order.
 WORDS = 1 << 20
-TABLE = "g long, c long, r float"
-PACKED = "p int, kind int, g binary, x binary, y binary, docs binary"
+BLOCK_BYTES = 4 << 20
+NS = ["n1", "n2", "n3", "n4", "rows", "total"]
+PACKED = "p int, kind int, lang string, k int, g binary, x binary, y binary, z binary, docs binary, " + ", ".join(f"{n} long" for n in NS)
+PAIRS, FOLLOWS, REPLIES, ASKED_PAIRS, ASKED_WORDS = range(5)
+_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 5, *[pa.int64()] * len(NS)]
+_NAMES = ["p", "kind", "lang", "k", "g", "x", "y", "z", "docs", *NS]
+
+
+# Packing
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """The bytes of an array by their places in a number, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def opened(raw: pa.Scalar, kind: type) -> np.ndarray:
+    buf = memoryview(raw.as_buffer())
+    n, size = int.from_bytes(buf[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(pa.py_buffer(buf[8:]), decompressed_size=n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def squeezed_keys(g: np.ndarray) -> bytes:
+    return squeezed(np.diff(g, prepend=np.uint64(0)))
+
+
+def opened_keys(raw: pa.Scalar) -> np.ndarray:
+    return np.cumsum(opened(raw, np.uint64), dtype=np.uint64)
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of rows (p, kind, lang, k, g, x, y, z, docs, counts...); missing trailing values are null."""
+    rows = [(*r, *[None] * (len(_NAMES) - len(r))) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
+
+
+def table_of(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([batch_of(rows)])
+
+
+def place(g: np.ndarray, parts: int) -> np.ndarray:
+    """The range of a key, by its upper half."""
+    return (((g >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def slices(g: np.ndarray, parts: int, mine: range | None = None) -> Iterator[tuple[int, int, int]]:
+    """(range, start, end) of the ranges that occur among sorted keys."""
+    mine = mine or range(parts)
+    cuts = np.searchsorted(place(g, parts), np.arange(mine.start, mine.stop + 1))
+    for i in np.flatnonzero(np.diff(cuts)):
+        yield mine.start + int(i), int(cuts[i]), int(cuts[i + 1])
+
+
+# Words and pairs of texts
 
 
 def cycles(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,176 +126,317 @@ def lang_hash(names: list) -> np.ndarray:
     return B.hashes(data, offsets[:-1], offsets[1:])
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, a, b, c) of a block's pairs."""
-    for batch in batches:
-        names = batch.column("lang").to_pylist()
-        known = list(dict.fromkeys(names))
-        of, hashed = np.array([known.index(x) for x in names]), lang_hash(known)
-        for s, e, data, offsets in B.blocks(batch.column("text")):
-            a, b, doc = cycles(data, offsets, hashed[of[s:e]])
-            _, at, c = np.unique(pair(a, b), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()).take(pa.array(of[s:e][doc[at]])), B.signed(a[at]), B.signed(b[at]), pa.array(c)], names=["lang", "a", "b", "c"])
-
-
-def discounts(counts: DataFrame) -> DataFrame:
-    """(lang, total, d1, d2, d3, m): the modified discounts of (lang, c), and how much of the mass they take."""
-    some = lambda k: F.sum((F.col("c") == k).cast("long"))
-    of = counts.groupBy("lang").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("rows"), *(some(k).alias(f"n{k}") for k in (1, 2, 3, 4)))
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    d = [F.when(F.col("n1") > 0, F.least(F.lit(float(k)), F.greatest(F.lit(0.05), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.5 * k))))).otherwise(0.5) for k in (1, 2, 3)]
-    of = of.select("*", *(x.alias(f"d{k}") for k, x in enumerate(d, 1)))
-    cut = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * (F.col("rows") - F.col("n1") - F.col("n2"))
-    return of.select("lang", "d1", "d2", "d3", (cut / F.col("total")).alias("gamma"), F.col("total").alias("sum"))
-
-
-def cut(c: str) -> F.Column:
-    return F.when(F.col(c) == 1, F.col("d1")).when(F.col(c) == 2, F.col("d2")).otherwise(F.col("d3"))
-
-
-def fit(trusted: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, tuple[float, ...]]]:
-    """Words and pairs (g, c, r) of (text, lang), r = known for words, and (d1, d2, d3, unknown) by language."""
-    pairs = settle(trusted.mapInArrow(counted, "lang string, a long, b long, c long").groupBy("lang", "a", "b").agg(F.sum("c").alias("c")), "pairs")
-    top = discounts(pairs)
-    context = pairs.join(F.broadcast(top), "lang").groupBy("lang", F.col("a").alias("w")).agg(F.sum("c").alias("total"), (F.sum(cut("c")) / F.sum("c")).alias("back"))
-    follows = pairs.groupBy("lang", F.col("b").alias("w")).agg(F.count(F.lit(1)).alias("c"))
-    follows = settle(context.join(follows, ["lang", "w"]), "follows")
-    low = discounts(follows.select("lang", "c"))
-    p = F.greatest(F.lit(0.0), F.col("c") - cut("c")) / F.col("sum") + F.col("gamma") / WORDS
-    words = settle(follows.join(F.broadcast(low), "lang").select("w", "total", "back", p.alias("p"), (F.log(p * F.col("back")) - F.log(F.col("gamma") / WORDS)).alias("known")), "words")
-    of = {r["lang"]: tuple(float(r[k]) for k in ("d1", "d2", "d3")) for r in top.collect()}
-    unknown = {r["lang"]: -float(np.log(r["gamma"] / WORDS)) for r in low.select("lang", "gamma").collect()}
-    joined = pairs.select("a", "b", "c").join(words.select(F.col("w").alias("a"), (F.col("total") * F.col("back")).alias("mass")), "a")
-    joined = joined.join(words.select(F.col("w").alias("b"), "p"), "b").select("a", "b", "c", (1 / (F.col("mass") * F.col("p"))).alias("r"))
-    joined = settle(joined.mapInArrow(keyed, TABLE), "known_pairs")
-    words = settle(words.select(F.col("w").alias("g"), F.col("total").alias("c"), F.col("known").cast("float").alias("r")), "known_words")
-    discard(pairs, follows)
-    return words, joined, {k: (*of[k], unknown[k]) for k in of}
-
-
-def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
-        yield pa.RecordBatch.from_arrays([B.signed(pair(a, b)), batch.column("c"), batch.column("r").cast(pa.float32())], names=["g", "c", "r"])
+def blocks_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[str], np.ndarray, tuple]]:
+    """(start, end, languages, each document's place among them, cycles) of a batch's blocks."""
+    names = batch.column(column).to_pylist()
+    known = {x: i for i, x in enumerate(dict.fromkeys(names))}
+    of, hashed = np.array([known[x] for x in names], np.int64), lang_hash(list(known))
+    for s, e, data, offsets in B.blocks(batch.column("text"), BLOCK_BYTES):
+        yield s, e, list(known), of[s:e], cycles(data, offsets, hashed[of[s:e]])
 
 
-def split(p: np.ndarray, parts: range, rows: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
-    """The rows of each part, packed; p is sorted."""
-    cuts = np.searchsorted(p, [*parts, parts.stop])
-    for i, k in enumerate(parts):
-        if cuts[i + 1] > cuts[i]:
-            yield k, [x[cuts[i] : cuts[i + 1]].tobytes() for x in rows]
+# The model
 
 
-def place(g: np.ndarray, parts: int) -> np.ndarray:
-    """The range of a key, by its upper half."""
-    return (((g >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+def pairs_row(p: int, lang: str, a: np.ndarray, b: np.ndarray, c: np.ndarray, *more: int) -> tuple:
+    """Distinct pairs as places in a sorted list of their words, in the order of the contexts."""
+    w, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ia, ib = at[: len(a)].astype(np.uint32), at[len(a) :].astype(np.uint32)
+    order = np.argsort(ia.astype(np.uint64) << np.uint64(32) | ib)
+    return (p, PAIRS, lang, 0, squeezed_keys(w), squeezed(ia[order]), squeezed(ib[order]), squeezed(c[order].astype(np.uint64)), None, *more)
 
 
-def batch_of(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["p", "kind", "g", "x", "y", "docs"])
+def opened_pairs(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return opened_keys(t.column("g")[i]), opened(t.column("x")[i], np.uint32), opened(t.column("y")[i], np.uint32), opened(t.column("z")[i], np.uint64).astype(np.int64)
 
 
-def packed_model(batches: Iterator[pa.RecordBatch], kind: int, parts: int, mine: range) -> Iterator[pa.RecordBatch]:
+def counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed pairs of each block, language and range."""
     for batch in batches:
-        g, c, r = (batch.column(k).to_numpy() for k in ("g", "c", "r"))
-        g = g.view(np.uint64)
-        p = place(g, parts)
-        at = np.argsort(p, kind="stable")
-        rows = [g[at], c[at], r[at]]
-        if out := [(k, kind, *x, None) for k, x in split(p[at], mine, rows)]:
+        for _, _, langs, of, (a, b, doc) in blocks_of(batch, "lang"):
+            g, li, out = pair(a, b), of[doc], []
+            for i in np.unique(of):
+                at = np.flatnonzero(li == i)
+                at = at[np.argsort(g[at])]
+                new = np.flatnonzero(np.diff(g[at], prepend=~g[at[0]]))
+                c, at = np.diff(np.append(new, len(at))), at[new]
+                out += [pairs_row(p, langs[i], a[at[s:e]], b[at[s:e]], c[s:e]) for p, s, e in slices(g[at], parts)]
             yield batch_of(out)
 
 
-def packed_documents(batches: Iterator[pa.RecordBatch], langs: dict[str, tuple[float, ...]], parts: int, mine: range) -> Iterator[pa.RecordBatch]:
-    """Kinds 2 (pairs) and 3 (words): keys, the document's place in docs, and n; docs holds id, trusted, d1 to d3 of each."""
-    names = list(langs)
-    hashed, cuts = lang_hash(names), np.array([langs[k][:3] for k in names])
+def merged(t: pa.Table) -> pa.Table:
+    """One row of a range and language, with the counts of counts."""
+    a, b, c = [], [], []
+    for i in range(len(t)):
+        w, ia, ib, n = opened_pairs(t, i)
+        a.append(w[ia])
+        b.append(w[ib])
+        c.append(n)
+    a, b, c = map(np.concatenate, (a, b, c))
+    g = pair(a, b)
+    at = np.argsort(g)
+    new = np.flatnonzero(np.diff(g[at], prepend=~g[at[0]]))
+    c, at = np.add.reduceat(c[at], new), at[new]
+    return table_of([pairs_row(t.column("p")[0].as_py(), t.column("lang")[0].as_py(), a[at], b[at], c, *counts_of_counts(c))])
+
+
+def counts_of_counts(c: np.ndarray) -> list[int]:
+    return [*(int((c == k).sum()) for k in (1, 2, 3, 4)), len(c), int(c.sum())]
+
+
+def asked_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """For the ranges of the words: each range's words as contexts (total, pairs of count 1, 2, more) and as followers."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        for i in range(len(t)):
+            w, ia, ib, c = opened_pairs(t, i)
+            by = np.minimum(c, 3)
+            stats = [np.bincount(ia, c, len(w)), *(np.bincount(ia[by == k], minlength=len(w)) for k in (1, 2, 3)), np.bincount(ib, minlength=len(w))]
+            stats = [x.astype(np.uint64) for x in stats]
+            p, lang = t.column("p")[i].as_py(), t.column("lang")[i].as_py()
+            yield batch_of([(q, FOLLOWS, lang, p, squeezed_keys(w[s:e]), squeezed(stats[0][s:e]), squeezed(np.concatenate([x[s:e] for x in stats[1:4]])), squeezed(stats[4][s:e])) for q, s, e in slices(w, parts)])
+
+
+def summed_words(t: pa.Table, d: dict[str, tuple[float, ...]]) -> pa.Table:
+    """A range's words with their sums, and what each range of pairs asked for, in the order of its list of words."""
+    q, lang = t.column("p")[0].as_py(), t.column("lang")[0].as_py()
+    asked = [opened_keys(t.column("g")[i]) for i in range(len(t))]
+    w, at = np.unique(np.concatenate(asked), return_inverse=True)
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in asked])])
+    column = lambda c: [opened(t.column(c)[i], np.uint64) for i in range(len(t))]
+    add = lambda xs: np.bincount(at, np.concatenate(xs).astype(float), len(w))
+    total, follows, by = add(column("x")).astype(np.uint64), add(column("z")).astype(np.uint64), [np.split(x, 3) for x in column("y")]
+    mass = sum(d[lang][k] * add([x[k] for x in by]) for k in (0, 1, 2)).astype(np.float32)
+    out = [(q, FOLLOWS, lang, 0, squeezed_keys(w), squeezed(total), squeezed(mass), squeezed(follows), None, *counts_of_counts(follows.astype(np.int64)))]
+    for i in range(len(t)):
+        mine = at[cuts[i] : cuts[i + 1]]
+        out.append((t.column("k")[i].as_py(), REPLIES, lang, q, None, None, squeezed(mass[mine]), squeezed(follows[mine])))
+    return table_of(out)
+
+
+def discounts(rows: DataFrame) -> dict[str, tuple[float, ...]]:
+    """(d1, d2, d3, share of the mass that they take, total) of each language."""
+    out = {}
+    for r in rows.groupBy("lang").agg(*(F.sum(n).alias(n) for n in NS)).collect():
+        n = [r["n1"], r["n2"], r["n3"], r["n4"]]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+        d = [min(float(k), max(0.05, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 * k)) if n[0] else 0.5 for k in (1, 2, 3)]
+        out[r["lang"]] = (*d, (d[0] * n[0] + d[1] * n[1] + d[2] * (r["rows"] - n[0] - n[1])) / r["total"], float(r["total"]))
+    return out
+
+
+class Values:
+    """What words and pairs are worth, from the discounts of pairs (high) and of continuations (low)."""
+
+    def __init__(self, high: dict[str, tuple[float, ...]], low: dict[str, tuple[float, ...]]) -> None:
+        self.langs = sorted(high)
+        self.d = np.array([high[k][:3] for k in self.langs])
+        self.low = low
+
+    def p(self, lang: str, follows: np.ndarray) -> np.ndarray:
+        *e, gamma, total = self.low[lang]
+        return np.maximum(0, follows - np.array(e)[np.minimum(follows, 3).astype(int) - 1]) / total + gamma / WORDS
+
+    def unknown(self, lang: str) -> float:
+        return -float(np.log(self.low[lang][3] / WORDS))
+
+    def known(self, lang: str, total: np.ndarray, mass: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        return np.log(self.p(lang, follows) * mass / total) + self.unknown(lang)
+
+    def of(self, words: bool, left: np.ndarray, r: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """The worth of one occurrence, with `left` counts from elsewhere; r is known(w), or 1 / (mass(a) * p(b))."""
+        if words:
+            return np.where(left > 0, r, 0.0)
+        less = self.d[lang, np.clip(left, 1, 3) - 1]
+        return np.where(left > 0, np.log1p(np.maximum(0.0, left - less) * r), 0.0)
+
+
+def fit(trusted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, Values]:
+    """Packed pairs, packed words with the replies to the ranges of pairs, and their values, from (text, lang)."""
+    rows = trusted.mapInArrow(lambda it: counted(it, parts), PACKED)
+    pairs = settle(rows.groupBy("p", "lang").applyInArrow(merged, PACKED), "pairs")
+    high = discounts(pairs)
+    asked = pairs.mapInArrow(lambda it: asked_words(it, parts), PACKED)
+    words = settle(asked.groupBy("p", "lang").applyInArrow(lambda t: summed_words(t, high), PACKED), "words")
+    return pairs, words, Values(high, discounts(words.where(F.col("kind") == FOLLOWS)))
+
+
+# Keys that many documents share
+
+
+def frequent_words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            w, total, mass, follows = opened_keys(batch.column("g")[i]), *(opened(batch.column(c)[i], k) for c, k in (("x", np.uint64), ("y", np.float32), ("z", np.uint64)))
+            at = np.flatnonzero(total >= least)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("lang")[i].as_py()] * len(at), pa.string()), B.signed(w[at]), B.signed(total[at]), pa.array(mass[at].astype(float)), B.signed(follows[at])], names=["lang", "w", "total", "mass", "follows"])
+
+
+def frequent_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        for i in range(len(t)):
+            w, ia, ib, c = opened_pairs(t, i)
+            at = np.flatnonzero(c >= least)
+            yield pa.RecordBatch.from_arrays([pa.array([t.column("lang")[i].as_py()] * len(at), pa.string()), B.signed(w[ia[at]]), B.signed(w[ib[at]]), pa.array(c[at])], names=["lang", "a", "b", "c"])
+
+
+class Keys:
+    """Sorted keys with counts, what Values.of needs, and their language."""
+
+    def __init__(self, g: np.ndarray, c: np.ndarray, r: np.ndarray, lang: np.ndarray) -> None:
+        at = np.argsort(g)
+        self.g, self.c, self.r, self.lang = g[at], c[at].astype(np.int64), r[at], lang[at]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys, and which of them are there."""
+        if not len(self.g):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        k = np.minimum(np.searchsorted(self.g, h), len(self.g) - 1)
+        return k, self.g[k] == h
+
+
+def hot_keys(pairs: DataFrame, words: DataFrame, values: Values) -> dict[int, Keys]:
+    """Pairs and words that hold more than 1 / HOT of all trusted words: at most HOT of each."""
+    least = int(sum(r[0] for r in pairs.agg(F.sum("total")).collect() if r[0]) // HOT + 1) if HOT else 1 << 62
+    w = words.where(F.col("kind") == FOLLOWS).mapInArrow(lambda it: frequent_words(it, least), "lang string, w long, total long, mass double, follows long").toArrow()
+    p = pairs.mapInArrow(lambda it: frequent_pairs(it, least), "lang string, a long, b long, c long").toArrow()
+    number = lambda t, c: t.column(c).to_numpy()
+    lang = lambda t: np.array([values.langs.index(x) for x in t.column("lang").to_pylist()], np.int64)
+    li, key = lang(w), number(w, "w").view(np.uint64)
+    known, follow = np.zeros(len(key)), np.zeros(len(key))
+    for i, name in enumerate(values.langs):
+        at = np.flatnonzero(li == i)
+        args = [number(w, c)[at] for c in ("total", "mass", "follows")]
+        known[at], follow[at] = values.known(name, *args), values.p(name, args[2])
+    # Both words of such a pair are among the words: they occur as often at least.
+    order = np.argsort(key)
+    at = lambda c: order[np.searchsorted(key[order], number(p, c).view(np.uint64))] if len(p) else np.zeros(0, np.int64)
+    ia, ib = at("a"), at("b")
+    r = 1 / (number(w, "mass")[ia] * follow[ib])
+    return {0: Keys(pair(key[ia], key[ib]), number(p, "c"), r, lang(p)), 1: Keys(key, number(w, "total"), known, li)}
+
+
+# Documents
+
+
+def measured(batches: Iterator[pa.RecordBatch], values: Values, hot: dict[int, Keys]) -> Iterator[pa.RecordBatch]:
+    """(id, key, words, known): the number of words, and what the hot keys take off the cost."""
+    for batch in batches:
+        own = batch.column("trusted").to_numpy(zero_copy_only=False).astype(np.int64)
+        for s, e, _, _, (a, b, doc) in blocks_of(batch, "key"):
+            total = np.zeros(e - s)
+            for kind, g in ((0, pair(a, b)), (1, a)):
+                keys = hot[kind]
+                k, hit = keys.find(g)
+                code, n = np.unique(doc[hit] * max(1, len(keys.g)) + k[hit], return_counts=True)
+                d, k = code // max(1, len(keys.g)), code % max(1, len(keys.g))
+                total += np.bincount(d, n * values.of(kind == 1, keys.c[k] - n * own[s:e][d], keys.r[k], keys.lang[k]), e - s)
+            words = np.bincount(doc, minlength=e - s) - 1
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(s, e - s), batch.column("key").slice(s, e - s), pa.array(words), pa.array(total)], names=["id", "key", "words", "known"])
+
+
+def asked_keys(batches: Iterator[pa.RecordBatch], hot: dict[int, Keys], parts: int, mine: range) -> Iterator[pa.RecordBatch]:
+    """Documents' keys in the ranges `mine`, without the hot ones: distinct keys, how many documents each, those and n."""
     for batch in batches:
-        of = np.array([names.index(k) for k in batch.column("key").to_pylist()], np.int64)
         ids, own = batch.column("id").to_numpy(), batch.column("trusted").to_numpy(zero_copy_only=False)
-        for s, e, data, offsets in B.blocks(batch.column("text")):
-            a, b, doc = cycles(data, offsets, hashed[of[s:e]])
-            about = np.rec.fromarrays([ids[s:e], own[s:e].astype(np.int64), *cuts[of[s:e]].T], dtype=ABOUT).tobytes()
+        for s, e, _, _, (a, b, doc) in blocks_of(batch, "key"):
             out = []
-            for kind, g in ((2, pair(a, b)), (3, a)):
+            for kind, g in ((0, pair(a, b)), (1, a)):
                 p = place(g, parts)
-                ok = (p >= mine.start) & (p < mine.stop)
-                g, d = g[ok], doc[ok]
-                at = np.lexsort((d, g))
-                g, d = g[at], d[at]
-                new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])])) if len(g) else np.zeros(0, np.int64)
-                rows = [g[new], d[new].astype(np.int32), np.diff(np.append(new, len(g))).astype(np.int32)]
-                out += [(k, kind, *x, about) for k, x in split(place(rows[0], parts), mine, rows)]
+                at = np.flatnonzero((p >= mine.start) & (p < mine.stop))
+                at = at[~hot[kind].find(g[at])[1]]
+                if not len(at):
+                    continue
+                h, d = g[at], doc[at]
+                order = np.argsort(h, kind="stable")  # documents stay in order
+                h, d = h[order], d[order]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
+                n, h, d = np.diff(np.append(new, len(h))), h[new], d[new]
+                for q, i, j in slices(h, parts, mine):
+                    first = np.flatnonzero(np.diff(h[i:j], prepend=~h[i]))
+                    some, where = np.unique(d[i:j], return_inverse=True)
+                    about = ids[s:e][some].astype(np.int64).tobytes() + own[s:e][some].astype(np.uint8).tobytes()
+                    out.append((q, ASKED_PAIRS + kind, None, 0, squeezed_keys(h[i:j][first]), squeezed(np.diff(np.append(first, j - i)).astype(np.uint32)), squeezed(where.astype(np.uint32)), squeezed(n[i:j].astype(np.uint32)), about))
             if out:
                 yield batch_of(out)
 
 
-ABOUT = [("id", np.int64), ("trusted", np.int64), ("d1", float), ("d2", float), ("d3", float)]
-
-
-def looked_up(t: pa.Table) -> pa.Table:
+def model_keys(t: pa.Table, kinds: np.ndarray, values: Values) -> dict[int, Keys]:
+    """The pairs and words of a range."""
+    found: dict[int, list[tuple]] = {0: [], 1: []}
+    langs = t.column("lang").to_pylist()
+    for i in np.flatnonzero(kinds == PAIRS):
+        lang = langs[i]
+        w, ia, ib, c = opened_pairs(t, int(i))
+        replies = sorted((t.column("k")[int(j)].as_py(), int(j)) for j in np.flatnonzero(kinds == REPLIES) if langs[j] == lang)
+        mass, follows = (np.concatenate([opened(t.column(x)[j], k) for _, j in replies]) for x, k in (("y", np.float32), ("z", np.uint64)))
+        a, b = w[ia], w[ib]
+        with np.errstate(divide="ignore"):
+            p = values.p(lang, np.maximum(follows, 1))
+            found[0].append((pair(a, b), c, (1 / (mass.astype(float)[ia] * p[ib])).astype(np.float32), np.full(len(c), values.langs.index(lang), np.int16)))
+    for i in np.flatnonzero(kinds == FOLLOWS):
+        w = opened_keys(t.column("g")[int(i)])
+        total, mass, follows = (opened(t.column(c)[int(i)], k) for c, k in (("x", np.uint64), ("y", np.float32), ("z", np.uint64)))
+        found[1].append((w, total, values.known(langs[i], total, mass, follows).astype(np.float32), np.full(len(w), values.langs.index(langs[i]), np.int16)))
+    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int16))
+    return {k: Keys(*map(np.concatenate, zip(*(v or [empty]), strict=True))) for k, v in found.items()}
+
+
+def looked_up(t: pa.Table, values: Values) -> pa.Table:
     """(id, known): what a range of keys takes off each document's cost."""
-    kinds, out, sums = t.column("kind").to_numpy(), [], []
-    column = {c: t.column(c) for c in ("g", "x", "y", "docs")}
-    for kind in (0, 1):
-        at = np.flatnonzero(kinds == kind)
-        if not len(at):
-            continue
-        g, c, r = (np.concatenate([np.frombuffer(column[k][int(i)].as_buffer(), dt) for i in at]) for k, dt in (("g", np.uint64), ("x", np.int64), ("y", np.float32)))
-        order = np.argsort(g)
-        g, c, r = g[order], c[order], r[order]
-        for i in np.flatnonzero(kinds == kind + 2):
-            i = int(i)
-            h, d, n = (np.frombuffer(column[k][i].as_buffer(), dt) for k, dt in (("g", np.uint64), ("x", np.int32), ("y", np.int32)))
-            about = np.frombuffer(column["docs"][i].as_buffer(), ABOUT)
-            k = np.minimum(np.searchsorted(g, h), len(g) - 1)
-            hit = g[k] == h
-            k, d, n = k[hit], d[hit], n[hit]
-            left = c[k] - n * about["trusted"][d]
-            if kind:
-                v = np.where(left > 0, r[k], 0.0)
-            else:
-                less = np.where(left == 1, about["d1"][d], np.where(left == 2, about["d2"][d], about["d3"][d]))
-                v = np.where(left > 0, np.log1p(np.maximum(0.0, left - less) * r[k]), 0.0)
-            total = np.bincount(d, v * n, minlength=len(about))
-            some = np.flatnonzero(total)
-            out.append(about["id"][some])
-            sums.append(total[some])
-    ids, total = np.concatenate([np.zeros(0, np.int64), *out]), np.concatenate([np.zeros(0), *sums])
-    once, back = np.unique(ids, return_inverse=True)
-    return pa.table({"id": once, "known": np.bincount(back, total, minlength=len(once)).astype(float)})
-
-
-def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for s, e, data, offsets in B.blocks(batch.column("text")):
-            first = B.spans(data, offsets, B.NOT_SPACE)[2]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(s, e - s), batch.column("key").slice(s, e - s), pa.array(np.diff(first))], names=["id", "key", "words"])
+    t = t.combine_chunks()
+    kinds = t.column("kind").to_numpy()
+    out, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    asked = np.flatnonzero(kinds >= ASKED_PAIRS)
+    model = model_keys(t, kinds, values) if len(asked) else {}
+    for i in map(int, asked):
+        kind = int(kinds[i]) - ASKED_PAIRS
+        keys = model[kind]
+        k, hit = keys.find(opened_keys(t.column("g")[i]))
+        reps = opened(t.column("x")[i], np.uint32)
+        hit = np.repeat(hit, reps)
+        k, d, n = np.repeat(k, reps)[hit], opened(t.column("y")[i], np.uint32)[hit], opened(t.column("z")[i], np.uint32)[hit].astype(np.int64)
+        raw = t.column("docs")[i].as_buffer()
+        size = len(raw) // 9
+        ids, own = np.frombuffer(raw, np.int64, size), np.frombuffer(raw, np.uint8, size, 8 * size).astype(np.int64)
+        total = np.bincount(d, n * values.of(kind == 1, keys.c[k] - n * own[d], keys.r[k], keys.lang[k]), size)
+        some = np.flatnonzero(total)
+        out.append(ids[some])
+        sums.append(total[some])
+    once, back = np.unique(np.concatenate(out), return_inverse=True)
+    return pa.table({"id": once, "known": np.bincount(back, np.concatenate(sums), len(once)).astype(np.float32)})
 
 
 def costs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(id, words_nll) of (id, text, key, trusted): the mean cost of a word, null without words. Ids stand for equal rows."""
-    words, pairs, langs = fit(trusted)
-    docs = docs.where("text IS NOT NULL").where(F.col("key").isin(*langs))
-    n = settle(docs.mapInArrow(sizes, "id long, key string, words long").groupBy("id").agg(F.max("key").alias("key"), F.max("words").alias("words"), F.count(F.lit(1)).alias("copies")), "words")
-    # A row takes at most 16 bytes; equal rows are looked up each, and averaged.
-    bytes_ = 32 * (n.agg(F.sum(F.col("copies") * (F.col("words") + 1))).first()[0] or 0)
-    shards = max(1, -(-bytes_ // SHARD_BYTES))
-    each = max(1, -(-bytes_ // (shards * RANGE_BYTES)))
-    parts, found = shards * each, None
-    for k in range(shards):
+    spark = docs.sparkSession
+    docs = docs.where("text IS NOT NULL").select("id", "text", "key", "trusted")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = max(LEAST_RANGES, -(-3 * size // (2 * RANGE_BYTES * PASSES)))
+    parts = PASSES * each
+    pairs, words, values = fit(trusted, parts)
+    docs = docs.where(F.col("key").isin(*values.langs))
+    hot = spark.sparkContext.broadcast(hot_keys(pairs, words, values))
+    n = docs.mapInArrow(lambda it: measured(it, values, hot.value), "id long, key string, words long, known double").groupBy("id")
+    n = settle(n.agg(F.max("key").alias("key"), F.max("words").alias("words"), F.count(F.lit(1)).alias("copies"), F.sum("known").alias("hot")), "words")
+    found = []
+    for k in range(PASSES):
         mine = range(k * each, (k + 1) * each)
-        rows = docs.select("id", "text", "key", "trusted").mapInArrow(lambda it, mine=mine: packed_documents(it, langs, parts, mine), PACKED)
-        for kind, table in ((0, pairs), (1, words)):
-            rows = rows.unionByName(table.mapInArrow(lambda it, kind=kind, mine=mine: packed_model(it, kind, parts, mine), PACKED))
-        part = settle(rows.groupBy("p").applyInArrow(looked_up, "id long, known double"), "known")
-        found = part if found is None else found.unionByName(part)
-        docs.sparkSession._jvm.System.gc()  # lets Spark remove the shard's shuffle files
-    discard(words, pairs)
-    known = found.groupBy("id").agg(F.sum("known").alias("known"))
-    unknown = F.element_at(F.create_map(*(F.lit(x) for k, v in langs.items() for x in (k, v[3]))), F.col("key"))
-    # The mark counts as a word of its own.
-    cost = unknown - F.coalesce("known", F.lit(0.0)) / (F.col("copies") * (F.col("words") + 1))
-    return n.join(known, "id", "left").select("id", F.when(F.col("words") > 0, cost).alias("words_nll"))
+        rows = docs.mapInArrow(lambda it, mine=mine: asked_keys(it, hot.value, parts, mine), PACKED)
+        here = F.col("p").between(mine.start, mine.stop - 1)
+        rows = rows.unionByName(pairs.where(here)).unionByName(words.where(here))
+        found.append(settle(rows.groupBy("p").applyInArrow(lambda t: looked_up(t, values), "id long, known float"), "known"))
+        spark._jvm.System.gc()  # lets Spark remove the pass's shuffle files
+    discard(pairs, words)
+    hot.destroy()
+    known = found[0]
+    for more in found[1:]:
+        known = known.unionByName(more)
+    known = known.groupBy("id").agg(F.sum("known").alias("known"))
+    unknown = F.element_at(F.create_map(*(F.lit(x) for k in values.langs for x in (k, values.unknown(k)))), F.col("key"))
+    # Equal rows were looked up each, and are averaged. The mark counts as a word of its own.
+    cost = unknown - (F.col("hot") + F.coalesce("known", F.lit(0.0))) / (F.col("copies") * (F.col("words") + 1))
+    out = settle(n.join(known, "id", "left").select("id", F.when(F.col("words") > 0, cost).alias("words_nll")), "costs")
+    discard(n, *found)
+    return out

@@ -43,10 +43,10 @@ def plain(texts, text, own):
     return cost / sum(n.values())
 
 
-@pytest.mark.parametrize("shard", [300 << 20, 2000])
-def test_costs_equal_plain_counts(spark, monkeypatch, shard):
-    monkeypatch.setattr(word_model, "SHARD_BYTES", shard)
-    monkeypatch.setattr(word_model, "RANGE_BYTES", shard // 2)
+@pytest.mark.parametrize(("hot", "size"), [(1 << 17, 64 << 20), (0, 64 << 20), (40, 64 << 20), (0, 20)])
+def test_costs_equal_plain_counts(spark, monkeypatch, hot, size):
+    monkeypatch.setattr(word_model, "HOT", hot)
+    monkeypatch.setattr(word_model, "RANGE_BYTES", size)
     rng = random.Random(4)
     texts = [" ".join(rng.choice("aa bb Bb c ß dd e f".split()) for _ in range(rng.randint(1, 12))) for _ in range(20)]
     trusted = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
