@@ -42,8 +42,8 @@ LEAST_DOCS, MOST_LANGUAGES = 30, 256
 LOW, HIGH = 0.005, 0.995
 #: A document may lie this far outside the quantiles (in nats a symbol or word) before it is rejected.
 SLACK = 0.05
-#: Dense counts of so many (language, half) are held by a task at a time.
-HELD = 4
+#: Distinct four-grams of all languages that a task holds before it passes them on.
+HELD = 3_000_000
 #: A step of the 16-bit logarithms: -log(1e-12) is 65,535 steps.
 STEP = np.float32(27.631021 / 65535)
 
@@ -76,16 +76,23 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, half, g, c): all four-grams of a task's texts; a few dense tables are held at a time."""
-    held: dict[tuple[str, int], np.ndarray] = {}
+    """(lang, half, g, c): all four-grams of a task's texts, summed up to a bounded number of distinct ones."""
+    held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def compact() -> int:
+        for k, parts in held.items():
+            g, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            held[k] = [(g, np.bincount(at, np.concatenate([c for _, c in parts]), len(g)).astype(np.int64))]
+        return sum(len(x[0][0]) for x in held.values())
 
     def flush() -> Iterator[pa.RecordBatch]:
+        compact()
         while held:
-            (lang, half), dense = held.popitem()
-            g = np.flatnonzero(dense)
-            lang_ = pa.DictionaryArray.from_arrays(np.zeros(len(g), np.int8), pa.array([lang])).dictionary_decode()
-            yield pa.RecordBatch.from_arrays([lang_, pa.array(np.full(len(g), half, np.int32)), pa.array(g.astype(np.int32)), pa.array(dense[g].astype(np.int64))], names=["lang", "half", "g", "c"])
+            (lang, half), [(g, c)] = held.popitem()
+            lang_ = pa.DictionaryArray.from_arrays(np.zeros(len(g), np.int8), pa.array([lang], pa.string())).dictionary_decode()
+            yield pa.RecordBatch.from_arrays([lang_, pa.array(np.full(len(g), half, np.int32)), pa.array(g.astype(np.int32)), pa.array(c)], names=["lang", "half", "g", "c"])
 
+    size = 0
     for batch in batches:
         names = list(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True))
         for a, b, data, offsets in B.blocks(batch.column("text")):
@@ -93,11 +100,13 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = {k: i for i, k in enumerate(dict.fromkeys(names[a:b]))}
             of = np.repeat(np.array([which[k] for k in names[a:b]], np.int32), np.diff(first))
             for k, i in which.items():
-                if k not in held and len(held) >= HELD:
+                held.setdefault(k, []).append(np.unique(codes[of == i], return_counts=True))
+                size += len(held[k][-1][0])
+            if size > 2 * HELD:
+                size = compact()
+                if size > HELD:
                     yield from flush()
-                dense = held.setdefault(k, np.zeros(A**4, np.int32))
-                g, c = np.unique(codes[of == i], return_counts=True)
-                dense[g] += c.astype(np.int32)
+                    size = 0
     yield from flush()
 
 
@@ -157,18 +166,22 @@ def half(text: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2)).cast("int")
 
 
-def held_tables(tables: DataFrame, names: list[str]) -> dict[tuple[str, int], np.ndarray]:
-    """At most two tables of each of the names."""
-    return {(r["lang"], r["part"]): np.frombuffer(r["steps"], np.uint16) for r in tables.where(F.col("lang").isin(*names)).toLocalIterator()}
+def held_tables(tables: DataFrame, names: list[str]) -> dict[tuple[str, int], bytes]:
+    """At most two tables of each of the names, one name at a time."""
+    out = {}
+    for name in names:
+        t = tables.where(F.col("lang") == name).toArrow()
+        out |= {(name, t.column("part")[i].as_py()): t.column("steps")[i].as_py() for i in range(len(t))}
+    return out
 
 
 def fit(trusted: DataFrame) -> dict[str, np.ndarray]:
     """Negative log probabilities of four-grams by language, from (text, lang)."""
     names = languages(trusted)
-    return {lang: t * STEP for (lang, _), t in held_tables(model(trusted, names, True, True), [*names, "*"]).items()}
+    return {lang: np.frombuffer(t, np.uint16) * STEP for (lang, _), t in held_tables(model(trusted, names, True, True), [*names, "*"]).items()}
 
 
-def scored(batches: Iterator[pa.RecordBatch], tables: dict[tuple[str, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+def scored(batches: Iterator[pa.RecordBatch], tables: dict[tuple[str, int], bytes]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = list(zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), strict=True))
         for a, b, data, offsets in B.blocks(batch.column("text")):
@@ -181,7 +194,7 @@ def scored(batches: Iterator[pa.RecordBatch], tables: dict[tuple[str, int], np.n
                 steps = tables.get(k)  # none if all trusted texts of a language are in this half
                 if steps is not None:
                     at = np.flatnonzero(of == i)
-                    cost[at] = steps[codes[at]]
+                    cost[at] = np.frombuffer(steps, np.uint16)[codes[at]]
             some = np.flatnonzero(n)
             if len(some):
                 total[some] = np.add.reduceat(cost, first[:-1][some])

@@ -33,12 +33,11 @@ from docquery.llm import blocks as B
 from docquery.llm.common import discard, settle
 
 #: Passes over the documents; bytes of packed rows in a range, of some 1.5 a byte of text; at least so many ranges a pass.
-PASSES, RANGE_BYTES, LEAST_RANGES = 4, 64 << 20, 6
+PASSES, RANGE_BYTES, LEAST_RANGES = 6, 16 << 20, 4
 #: At most so many words, and so many pairs, are broadcast.
 HOT = 1 << 17
 #: Equally likely words of the lowest order.
 WORDS = 1 << 20
-BLOCK_BYTES = 4 << 20
 NS = ["n1", "n2", "n3", "n4", "rows", "total"]
 PACKED = "p int, kind int, lang string, k int, g binary, x binary, y binary, z binary, docs binary, " + ", ".join(f"{n} long" for n in NS)
 PAIRS, FOLLOWS, REPLIES, ASKED_PAIRS, ASKED_WORDS = range(5)
@@ -131,7 +130,7 @@ def blocks_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, li
     names = batch.column(column).to_pylist()
     known = {x: i for i, x in enumerate(dict.fromkeys(names))}
     of, hashed = np.array([known[x] for x in names], np.int64), lang_hash(list(known))
-    for s, e, data, offsets in B.blocks(batch.column("text"), BLOCK_BYTES):
+    for s, e, data, offsets in B.blocks(batch.column("text")):
         yield s, e, list(known), of[s:e], cycles(data, offsets, hashed[of[s:e]])
 
 
@@ -256,8 +255,10 @@ def fit(trusted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, Values]:
     rows = trusted.mapInArrow(lambda it: counted(it, parts), PACKED)
     pairs = settle(rows.groupBy("p", "lang").applyInArrow(merged, PACKED), "pairs")
     high = discounts(pairs)
+    trusted.sparkSession._jvm.System.gc()
     asked = pairs.mapInArrow(lambda it: asked_words(it, parts), PACKED)
     words = settle(asked.groupBy("p", "lang").applyInArrow(lambda t: summed_words(t, high), PACKED), "words")
+    trusted.sparkSession._jvm.System.gc()  # lets Spark remove the shuffle files of the counts
     return pairs, words, Values(high, discounts(words.where(F.col("kind") == FOLLOWS)))
 
 
