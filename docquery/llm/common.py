@@ -22,12 +22,15 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one is set only where none is."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one is set only where none is, and only if
+    driver and executors are one process: elsewhere each machine would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docquery-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -64,10 +67,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def text_key() -> F.Column:
+    """What tells apart texts of one doc_id; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among gone's (one integer column `gone_id`). Rows with a null doc_id stay; all columns stay."""
-    gone = settle(gone.select(F.col("gone_id").cast("long").alias("__gone")).where("__gone IS NOT NULL").distinct(), "gone")
-    return docs.join(small(gone, gone.count()), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """docs without the rows (gone_id, gone_text), doc_id and text_key. A doc_id that repeats with other texts keeps those, rows
+    that repeat both share their decision, rows with a null doc_id stay; all columns stay."""
+    gone = settle(gone.select(F.col("gone_id").cast("long").alias("__gone"), F.col("gone_text").alias("__text")).where("__gone IS NOT NULL").distinct(), "gone")
+    return docs.join(small(gone, gone.count()), (F.col("doc_id").cast("long") == F.col("__gone")) & (text_key() == F.col("__text")), "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:

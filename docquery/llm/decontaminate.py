@@ -6,8 +6,9 @@ themselves. The set is broadcast in parts of at most PART_WINDOWS windows, whose
 part is one more pass over the documents, and the parts' hits are then merged per document.
 
 Defined results: null and empty texts have no words and are never hit; items without words are ignored; equal windows of
-several items count for each of them; repeated rows are judged each alone; empty tables give empty results or no hits.
-Further columns are ignored.
+several items count for each of them; repeated rows are judged each alone, and so are texts that share a doc_id; very long texts
+are scanned whole in one block, in time that follows their length; empty tables give empty results or no hits. Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquery.llm import blocks as B
-from docquery.llm.common import id_and_text, settle, without
+from docquery.llm.common import id_and_text, settle, text_key, without
 
 #: Windows in one broadcast: some 120 bytes of text and hash each, so some 60 MB.
 PART_WINDOWS = 500_000
 
 WINDOWS = "item_id string, hash long, k int, words binary"
-HITS = "row long, doc_id long, n_words long, spans array<long>, items array<string>"
+HITS = "row long, doc_id long, text_key long, n_words long, spans array<long>, items array<string>"
 
 
 def item_windows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -88,10 +89,10 @@ def scan(batches: Iterator[pa.RecordBatch], probe: Probe) -> Iterator[pa.RecordB
                         items.setdefault(d, set()).update(found)
             n = end - start
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").slice(start, n), batch.column("doc_id").slice(start, n), pa.array(np.diff(first), pa.int64()),
+                [batch.column("row").slice(start, n), batch.column("doc_id").slice(start, n), batch.column("text_key").slice(start, n), pa.array(np.diff(first), pa.int64()),
                  pa.array([[x for run in merged(hits[d]) for x in run] if d in hits else [] for d in range(n)], pa.list_(pa.int64())),
                  pa.array([sorted(items[d]) if d in items else [] for d in range(n)], pa.list_(pa.string()))],
-                names=["row", "doc_id", "n_words", "spans", "items"])
+                names=["row", "doc_id", "text_key", "n_words", "spans", "items"])
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,13 +107,13 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, words: int = 8, part_windows: int = PART_WINDOWS) -> DataFrame:
-    """row, doc_id, n_words, spans, items of every row of docs; items are item ids as strings."""
+    """row, doc_id, text_key, n_words, spans, items of every row of docs; items are item ids as strings."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     grams = settle(bench.where("item_id IS NOT NULL").mapInArrow(lambda it: item_windows(it, words), WINDOWS).distinct(), "windows")
     total = grams.count()
     parts = max(1, -(-total // part_windows))
-    base = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
+    base = id_and_text(docs, text_key().alias("text_key")).withColumn("row", F.monotonically_increasing_id())
     if parts > 1:  # one more pass for each part, over rows that keep their numbers
         base = settle(base, "rows")
     out = None
@@ -124,7 +125,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, words: int = 8, part_windows: in
         out = found if out is None else out.unionByName(found)
     if parts == 1:
         return out
-    flat = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    flat = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return flat.mapInArrow(merge_spans, HITS)
 
 
@@ -137,7 +138,7 @@ def merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 8, least_items: int = 1) -> DataFrame:
     """docs without those in which windows of at least `least_items` items occur; all columns stay as they are."""
     found = hits(docs, benchmark, words)
-    return without(docs, found.where(F.size("items") >= least_items).select(F.col("doc_id").alias("gone_id")))
+    return without(docs, found.where(F.size("items") >= least_items).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, words: int = 8, least_items: int = 2) -> DataFrame:

@@ -5,8 +5,9 @@ verified ones are decided on the map side against a broadcast of at most `counte
 digest, where no group can exceed a known share of the input.
 
 Defined results: a null text is an empty text; documents with equal texts form one group and the largest doc_id stays; rows
-that repeat the winning doc_id are the same document and share its decision; a null doc_id loses to any other and a group of
-null doc_ids keeps them. An empty table gives an empty result. Further columns are ignored.
+that repeat the winning doc_id and its text are the same document and share its decision, while other texts of that doc_id are
+decided in their own groups; a null doc_id loses to any other and a group of null doc_ids keeps them. Very long texts cost their
+SHA-256 once and travel as that. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquery.llm.common import id_and_text, settle, without
+from docquery.llm.common import id_and_text, settle, text_key, without
 
 #: Misra-Gries counters per partition: a digest holding more than 1/COUNTERS of a partition's rows is always found there.
 COUNTERS = 256
@@ -37,12 +38,17 @@ def misra_gries(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa
 
 def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    rows = settle(id_and_text(docs).select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")), "digests")
+    return _decided(docs, counters).drop("text_key")
+
+
+def _decided(docs: DataFrame, counters: int, *more: F.Column) -> DataFrame:
+    names = ["text_key"] * len(more)
+    rows = settle(id_and_text(docs).select("doc_id", *more, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")), "digests")
     found = rows.select("digest").mapInArrow(lambda it: misra_gries(it, counters), "digest string, n long")
     # At most `counters` rows: the candidates with the largest lower bounds, of more than one row.
     likely = found.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "digest").limit(counters).select("digest")
     heavy = settle(rows.join(F.broadcast(likely), "digest").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "heavy")
-    fields = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")]
+    fields = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), *names]
     hot = rows.join(F.broadcast(heavy), "digest").select(*fields)
     cold = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     groups = cold.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -51,4 +57,4 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """docs without the rows whose text another row of a larger doc_id has; all columns stay as they are."""
-    return without(docs, exact_groups(docs, counters).where("NOT kept").select(F.col("doc_id").alias("gone_id")))
+    return without(docs, _decided(docs, counters, text_key().alias("text_key")).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text")))

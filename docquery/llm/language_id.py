@@ -3,11 +3,13 @@
 Features are hashed pairs and triples of folded bytes, letters only, as square roots of relative frequencies. One machine
 for each family against the rest chooses the family; inside it, one machine for each pair of languages votes. Each machine
 is trained by one task on at most PER_LANGUAGE texts of each language, chosen by a hash of doc_id among the labelled rows
-(a documented bound); only machines go to the driver: features x (families + pairs) numbers, however large the input.
+(a documented bound), and of the MOST_LANGUAGES most frequent languages. Texts become sparse features once; a language's are
+packed in one row, which goes to each machine's task. Only machines go to the driver: features x (families + pairs) numbers,
+however large the input.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is everything if no row is labelled;
 ties of votes go to the larger sum of margins, then to the smaller name; repeated rows are predicted alike; an empty table
-gives an empty result; further columns are ignored and only text is an input of a prediction.
+gives an empty result; very long texts are read whole; further columns are ignored and only text is an input of a prediction.
 """
 
 from __future__ import annotations
@@ -16,16 +18,16 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.llm import blocks as B
-from docquery.llm.common import id_and_text
+from docquery.llm.common import discard, id_and_text, settle
 
 PER_LANGUAGE = 300
+MOST_LANGUAGES = 400
 FEATURES = 1 << 13
 _FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb yi fy",
@@ -63,32 +65,63 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.sqrt(out / np.maximum(1, out.sum(1, keepdims=True)))
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 80) -> tuple[np.ndarray, float]:
+class Sparse:
+    """Rows of features: places and values of all rows in one, and where each row starts."""
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, starts: np.ndarray) -> None:
+        self.at, self.value, self.starts = at, value, starts
+        self.row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.at], len(self.starts) - 1)
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.value * r[self.row], FEATURES)
+
+
+def train_machine(x: Sparse, y: np.ndarray, c: float = 20.0, steps: int = 80) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear machine with squared hinge loss, classes weighted alike; accelerated gradient steps."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
+    w = v = np.zeros(FEATURES + 1)
     lipschitz, t = 1 + 2 * 2 * c, 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v)) * weight * y
-        new = v - (v - 2 * (x.T @ slack.astype(np.float32))) / lipschitz
+        slack = np.maximum(0, 1 - y * (x.times(v) + v[-1])) * weight * y
+        new = v - (v - 2 * np.append(x.back(slack), slack.sum())) / lipschitz
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         v, w = new + (before - 1) / t * (new - w), new
     return w[:-1], float(w[-1])
 
 
-def trained(rows: pd.DataFrame) -> pd.DataFrame:
-    """One machine from the rows (task, positive, text) of one task."""
-    rows = rows.sort_values(["doc_id", "text"])
-    x = np.vstack([features(d, o) for _, _, d, o in B.blocks(pa.array(rows["text"], pa.large_string()))])
-    w, b = train_machine(x, np.where(rows["positive"], 1.0, -1.0))
-    return pd.DataFrame({"task": [rows["task"].iloc[0]], "w": [w.astype("<f4").tobytes()], "b": [b]})
+def hashed(t: pa.Table) -> pa.Table:
+    """A language's texts as sparse features in one row."""
+    order = sorted(range(len(t)), key=lambda i: (t.column("doc_id")[i].as_py() is None, t.column("doc_id")[i].as_py(), t.column("text")[i].as_py()))
+    at, value, sizes = [], [], []
+    for a, b, data, offsets in B.blocks(t.column("text").take(pa.array(order)), 1 << 20):
+        for d in range(0, b - a, 64):  # dense rows of 64 texts at a time
+            o = offsets[d : min(d + 64, b - a) + 1]
+            x = features(data[o[0] : o[-1]], o - o[0])
+            row, col = np.nonzero(x)
+            at.append(col.astype(np.int32))
+            value.append(x[row, col].astype(np.float32))
+            sizes.append(np.bincount(row, minlength=len(x)).astype(np.int32))
+    pack = lambda xs: pa.array([np.concatenate(xs).tobytes()], pa.binary())
+    return pa.table({"lang": [t.column("lang")[0].as_py()], "at": pack(at), "value": pack(value), "sizes": pack(sizes)})
+
+
+def trained(t: pa.Table) -> pa.Table:
+    """One machine from the languages of one task."""
+    order = np.argsort(t.column("lang").to_pylist(), kind="stable").tolist()
+    at, value, sizes = ([np.frombuffer(t.column(c)[i].as_buffer(), k) for i in order] for c, k in (("at", np.int32), ("value", np.float32), ("sizes", np.int32)))
+    y = np.concatenate([np.full(len(n), 1.0 if t.column("positive")[i].as_py() else -1.0) for i, n in zip(order, sizes, strict=True)])
+    x = Sparse(np.concatenate(at), np.concatenate(value), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+    w, b = train_machine(x, y)
+    return pa.table({"task": [t.column("task")[0].as_py()], "w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "b": [b]})
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """The machines from rows (doc_id, text, lang)."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row for each language
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     spark, langs = labelled.sparkSession, sorted(counts)
     if not langs:
         return {"families": {}, "machines": {}}
@@ -104,7 +137,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     few = labelled.select("doc_id", "text", "lang", h.alias("h")).join(F.broadcast(share), "lang").where("h < below")
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= per_language)
     table = spark.createDataFrame(tasks, "task string, lang string, positive boolean")
-    rows = few.join(F.broadcast(table), "lang").select("task", "positive", "doc_id", "text").groupBy("task").applyInPandas(trained, "task string, w binary, b double").collect()
+    packed = settle(few.select("lang", "doc_id", "text").groupBy("lang").applyInArrow(hashed, "lang string, at binary, value binary, sizes binary"), "features")
+    rows = packed.join(F.broadcast(table), "lang").groupBy("task").applyInArrow(trained, "task string, w binary, b double").collect()
+    discard(packed)
     return {"families": families, "machines": {r["task"]: (np.frombuffer(r["w"], "<f4"), r["b"]) for r in rows}}
 
 

@@ -3,7 +3,7 @@
 Two collections of GROUPS small hash groups of GROUP_SIZE minima are computed for each distinct shingle set. A table key is
 a pair (i-th group of the one, j-th of the other): GROUPS^2 tables of 2*GROUP_SIZE rows each cost only 2*GROUPS*GROUP_SIZE
 minima, about the square root of what as many independent tables need. Two sets of similarity 0.8 share no table with
-probability below 2*(1-0.8^GROUP_SIZE)^GROUPS = 7e-5, and of 0.9 with 1e-7. Every link is confirmed on the full sets.
+probability below 2*(1-0.8^GROUP_SIZE)^GROUPS = 1e-5, and of 0.9 with 5e-9. Every link is confirmed on the full sets.
 
 No group is expanded into its pairs. Equal sets are one representative. In each table, members are first compared with one
 leader, the set that shares most groups with others; members left outside the table's largest component are compared with
@@ -12,8 +12,9 @@ their tables. So every pair of a shared table is compared unless it is connected
 
 Defined results: words are split at ASCII white space after folding A-Z; a text of fewer than `words` words has its whole
 sequence as its one shingle; null texts and texts without words have no shingle and are linked with nothing; repeated rows
-are linked like any copies. A null doc_id cannot be named as a component: such rows have a null component and are kept.
-An empty table gives an empty result. Further columns are ignored.
+are linked like any copies. Texts that share a doc_id are members of their own, each with its component; the name of a component is
+its least doc_id. A null doc_id cannot be named as a component: such rows have a null component and are kept. Very long texts are
+compared whole, by their sets. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquery.llm import blocks as B
-from docquery.llm.common import components, discard, id_and_text, settle, small, without
+from docquery.llm.common import components, discard, id_and_text, settle, small, text_key, without
 
-GROUPS, GROUP_SIZE = 10, 2
+GROUPS, GROUP_SIZE = 12, 2
 PIVOT_ROUNDS = 3
 #: Up to so many pairs of members outside and inside are compared in blocks without further pivots.
 PAIRS_AT_ONCE = 1_000_000
@@ -38,7 +39,7 @@ _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1 << 63, size=2 * GROUPS * GROUP_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _rng.integers(1 << 63, size=2 * GROUPS * GROUP_SIZE, dtype=np.uint64)
 
-SIGNATURE = "doc_id long, n long, d1 long, d2 long, a array<long>, b array<long>"
+SIGNATURE = "doc_id long, text_key long, n long, d1 long, d2 long, a array<long>, b array<long>"
 
 
 def signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -59,7 +60,7 @@ def signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
                         least = np.minimum.reduceat((((flat ^ _MASKS[k]) * _MULTIPLIERS[k]) >> np.uint64(32)).astype(np.uint32), at)
                         groups[t, some] = (groups[t, some] << np.uint64(32)) | least
             nested = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), B.signed(np.ascontiguousarray(groups[c * GROUPS : (c + 1) * GROUPS].T).ravel())) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(sizes), B.signed(d1), B.signed(d2), *nested], names=["doc_id", "n", "d1", "d2", "a", "b"])
+            yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), batch.column(2).slice(start, end - start), pa.array(sizes), B.signed(d1), B.signed(d2), *nested], names=["doc_id", "text_key", "n", "d1", "d2", "a", "b"])
 
 
 def verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -82,9 +83,17 @@ def verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Ite
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links need 100*intersection >= percent*union."""
-    docs = id_and_text(docs)
+    return _decided(docs, words, percent).drop("text_key")
+
+
+def _decided(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    docs = id_and_text(docs, text_key().alias("text_key"))
     rows = settle(docs.mapInArrow(lambda it: signatures(it, words), SIGNATURE), "signatures")
-    reps = settle(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "sets")
+    reps = settle(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.first("a").alias("a"), F.first("b").alias("b")).select("d1", "d2", "n", "m.doc_id", "m.text_key", "a", "b"), "sets")
+    # A set is known by its least doc_id, or by a negative number of its own where that doc_id has several sets.
+    several = settle(reps.groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("again"), "several")
+    reps = reps.join(small(several, several.count()), F.col("doc_id") == F.col("again"), "left")
+    reps = reps.withColumn("rep", F.when(F.col("again").isNull() & (F.col("doc_id") >= 0), F.col("doc_id")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("d1", "d2", "n"), 1))).drop("again")
 
     # Only groups that two sets share can be part of a shared table; the others need no table rows.
     group = reps.select("rep", "n", F.posexplode(F.concat("a", "b")).alias("i", "value"))
@@ -99,7 +108,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     members = settle(tables.join(leaders, "key"), "members")
     discard(tables)
     asked = settle(members.where((F.col("rep") != F.col("lead")) & alike).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    texts = candidates(docs, members.select("rep").distinct())
+    texts = candidates(docs, members.select("rep").distinct().join(reps.select("rep", F.col("doc_id").alias("least"), F.col("text_key").alias("key")), "rep"))
     members = members.select("key", "rep", "n", "pop")
     links = [compare(asked, texts, words, percent)]
 
@@ -131,10 +140,13 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     links.append(block_links(open_, outside, texts, words, percent))
     found = joined()
 
-    named = settle(reps.join(found, reps.rep == found.node, "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("comp")), "named")
+    at = reps.join(found, reps.rep == found.node, "left").select("d1", "d2", "n", "doc_id", "component")
+    least = at.where("component IS NOT NULL").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("least"))
+    at = at.join(least, F.col("component") == F.col("of"), "left")
+    named = settle(at.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), F.coalesce("least", "doc_id").alias("comp")), "named")
     out = rows.join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")), "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
 def block_links(open_: DataFrame, outside: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -184,9 +196,10 @@ def compared_block(t: pa.Table, words: int, percent: int) -> pa.Table:
 
 
 def candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """One text for each set that shares a table; only these are shuffled again. Other texts of a repeated doc_id go."""
-    ids = settle(reps.select(F.col("rep").alias("doc_id")), "candidates")
-    return settle(docs.join(small(ids, ids.count()), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    """(doc_id, text): one text for each set that shares a table, under the set's name; only these are shuffled again."""
+    ids = settle(reps, "candidates")
+    at = docs.join(small(ids, ids.count()), (F.col("doc_id") == F.col("least")) & (F.col("text_key") == F.col("key")))
+    return settle(at.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -198,4 +211,4 @@ def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near-duplicates, the smallest doc_id; all columns stay as they are."""
-    return without(docs, near_groups(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")))
+    return without(docs, _decided(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text")))

@@ -1,9 +1,10 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Regular expressions propose candidate spans: the four base kinds (email, ip, card, phone) and wider ones (tel: numbers
-without a leading plus; ssn; name: runs of capitalised words). Three labelers vote +1, 0 or -1 on each candidate: a regex
+Regular expressions propose candidate spans: the four base kinds (email, ip, card, phone) and wider ones (account: 13 to 19
+digits like a card's that fail its checksum, so account numbers and mistyped cards; tel: numbers without a leading plus; ssn;
+name: runs of capitalised words). Three labelers vote +1, 0 or -1 on each candidate: a regex
 labeler (strict form), a gazetteer labeler (known given names, mail domains, reserved ranges) and a context labeler (cue words
-before the span). All corpus candidates are counted by vote pattern (at most 7 kinds x 27 votes x 3 lengths = 567 rows, so
+before the span). All corpus candidates are counted by vote pattern (at most 8 kinds x 27 votes x 3 lengths = 648 rows, so
 only those reach the driver), expectation-maximisation estimates each labeler's reliability for each kind, and its posteriors
 train the final classifier: a logistic model over kind, votes and length, applied to every candidate as a column expression.
 Base spans that pass their own test always stay; the classifier decides on the others.
@@ -12,26 +13,31 @@ The patterns equal the plain ones but never back-track over long runs: quantifie
 follows could match what they took, and a start inside a run that an earlier start has failed on is not tried again.
 
 Defined results: null and empty texts have no spans; spans are code points with an exclusive end; repeated rows are judged
-alike; an empty table gives an empty result; further columns are ignored.
+alike; very long texts are searched whole, in time that follows their length and matches (their places are summed up in pieces
+of PIECE, so no text's matches are copied for each later one); an added span that overlaps a base one goes; log odds of exactly 0 do not add; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquery.llm.common import id_and_text, settle
 
-KINDS = ["email", "ip", "card", "phone", "tel", "ssn", "name"]
+KINDS = ["email", "ip", "card", "phone", "account", "tel", "ssn", "name"]
 BASE = 4
+PIECE = 256
 PATTERN = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+",
     "card": r"[0-9](?:[ -]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "account": r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9A-Za-z])",
     "tel": r"(?<![0-9+().-])(?<![0-9+().-] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){0,2}+",
@@ -39,12 +45,20 @@ PATTERN = {
 #: What a text must contain at all before a pattern is tried on it.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-GIVEN = "james john robert michael david maria mary anna peter paul thomas hans karl heinz jean pierre marie claire jose juan carlos ana lucia carmen luis sofia laura julia martin"
+GIVEN = (
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret betty sandra ashley emily donna michelle carol amanda melissa deborah helen ruth "
+    "hans karl heinz peter klaus wolfgang jürgen dieter manfred uwe werner günter horst andreas stefan matthias markus florian ursula monika petra elke sabine renate helga ingrid brigitte gisela claudia katrin birgit "
+    "jean pierre michel andré philippe alain jacques bernard marcel daniel rené louis françois henri nicolas julien antoine marie jeanne françoise monique catherine nathalie isabelle jacqueline sylvie martine céline claire camille chloé "
+    "antonio josé manuel francisco juan pedro jesús luis miguel ángel rafael carlos javier fernando pablo sergio alejandro diego jorge maría carmen ana isabel dolores pilar teresa rosa cristina laura lucía elena sofía marta paula "
+    "anna maria julia martin alexander victor leo emma mia lena max felix hugo alice louise eva nina olga ivan anton"
+)
 STRICT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}$",
     "ip": rf"^{_BYTE}(?:\.{_BYTE}){{3}}$",
     "card": r"^(?:[3-6][0-9]{12,18}|[3-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})$",
     "phone": r"^\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,3}$",
+    "account": r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})$",
     "tel": r"^\(?[2-9][0-9]{2}\)?([ .-])[2-9][0-9]{2}[.-][0-9]{4}$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "name": r"^\p{Lu}\p{Ll}+\.? \p{Lu}\p{Ll}{2,}(?: \p{Lu}\p{Ll}{2,})+$",
@@ -54,6 +68,7 @@ KNOWN = {
     "ip": r"^(?!0\.|127\.|255\.|22[4-9]\.|23[0-9]\.).*$",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+    "account": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "tel": r"^\(?(?!555)[2-9][0-8][0-9]",
     "ssn": r"^(?!219-09-9999|078-05-1120)",
     "name": rf"(?i)\b(?:{'|'.join(GIVEN.split())})\b",
@@ -63,6 +78,7 @@ CUE = {
     "ip": r"(?i)(?:\bip\b|address|host|server|from|client)[^\p{L}]*$",
     "card": r"(?i)(?:card|visa|master|amex|credit|karte|carte|tarjeta)[^\p{L}]*$",
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|telefon|numéro|teléfono)[^\p{L}]*$",
+    "account": r"(?i)(?:card|visa|master|amex|credit|karte|carte|tarjeta|account|konto|compte|cuenta|iban)[^\p{L}]*$",
     "tel": r"(?i)(?:phone|tel|call|mobile|fax|telefon|numéro|teléfono)[^\p{L}]*$",
     "ssn": r"(?i)(?:ssn|social security)[^\p{L}]*$",
     "name": r"(?i)(?:name|dear|signed|contact|by|from|liebe[r]?|cher|chère|querid[oa])[^\p{L}]*$",
@@ -84,31 +100,47 @@ def holds(kind: str, m: Column) -> Column:
     if kind == "card":
         digits = F.translate(m, " -", "")
         return F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)
+    if kind == "account":
+        return ~luhn(F.translate(m, " -", ""))
     if kind == "phone":
         return F.length(F.regexp_replace(m, "[^0-9]", "")).between(9, 15)
     return F.lit(True)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once however often f's own functions use it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def spans(text: Column, kind: str) -> Column:
     """array<struct<k, s, e, regex, known, cue, len>> of the kind's matches that hold, in order."""
     pattern, k = F.lit(PATTERN[kind]), KINDS.index(kind)
     # Pieces between matches and the matches themselves give the positions.
     pairs = F.arrays_zip(F.split(text, PATTERN[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    empty = F.lit(None).cast("array<struct<s:int,hit:string,before:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,hit:string,before:string>>)").alias("got"))
+    none = F.expr("cast(array() as array<struct<s:int,hit:string,before:string>>)")
+
+    def ends(steps: Column) -> Column:
+        """Running sums, in pieces."""
+
+        def piece(acc: Column, i: Column) -> Column:
+            last = F.when(F.size(acc) > 0, F.element_at(F.element_at(acc, -1), -1)).otherwise(0)
+            return F.concat(acc, F.array(F.aggregate(F.slice(steps, i * PIECE + 1, PIECE), F.array(last), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))))
+
+        pieces = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / PIECE).cast("int")), F.expr("cast(array() as array<array<int>>)"), piece)
+        return F.flatten(F.transform(pieces, lambda p: F.slice(p, 2, PIECE)))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc.at + F.length(x.gap)
-        one = F.array(F.struct(s.alias("s"), x.hit.alias("hit"), F.right(x.gap, F.lit(32)).alias("before")))
-        return F.struct((s + F.coalesce(F.length(x.hit), F.lit(0))).alias("at"), F.when(x.hit.isNotNull() & holds(kind, x.hit), F.concat(acc.got, one)).otherwise(acc.got).alias("got"))
+    def located(pairs: Column) -> Column:
+        steps = F.transform(pairs, lambda x: F.length(x.gap) + F.coalesce(F.length(x.hit), F.lit(0)))
+        kept = F.filter(F.arrays_zip(pairs.alias("p"), once(steps, ends).alias("e")), lambda x: x.p.hit.isNotNull() & holds(kind, x.p.hit))
+        return F.transform(kept, lambda x: F.struct((x.e - F.length(x.p.hit)).alias("s"), x.p.hit.alias("hit"), F.right(x.p.gap, F.lit(32)).alias("before")))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc.got)
+    found = once(pairs, located)
     some = F.regexp_like(text, pattern)
     if kind in NEEDS:
         some = F.contains(text, F.lit(NEEDS[kind])) & some
     vote = lambda yes: F.when(yes, 1).otherwise(-1)
     return F.transform(
-        F.coalesce(F.when(some, found), empty, F.expr("cast(array() as array<struct<s:int,hit:string,before:string>>)")),
+        F.coalesce(F.when(some, found), none),
         lambda x: F.struct(
             F.lit(k).alias("k"), x.s.alias("s"), (x.s + F.length(x.hit)).alias("e"),
             vote(x.hit.rlike(STRICT[kind])).alias("regex"),
@@ -150,10 +182,10 @@ def features(p: dict) -> list[str]:
     return ["bias", f"k{p['k']}", f"len{p['len']}", *(f"{v}{p[v]}" for v in LABELERS)]
 
 
-def train_classifier(patterns: list[dict], posterior: dict, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
-    """Logistic regression of the posteriors on the discrete features, weighted by the logarithm of the counts."""
+def train_classifier(patterns: list[dict], posterior: dict, steps: int = 1500, rate: float = 1.0, decay: float = 1e-4) -> dict[str, float]:
+    """Logistic regression of the posteriors on the discrete features, weighted by the counts."""
     w: dict[str, float] = {}
-    weight = {i: 1 + math.log(p["n"]) for i, p in enumerate(patterns)}
+    weight = {i: p["n"] for i, p in enumerate(patterns)}
     whole = sum(weight.values()) or 1
     for _ in range(steps):
         slope: dict[str, float] = {}
@@ -184,7 +216,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     found = settle(rows.select("doc_id", F.concat(*(spans(text, k) for k in KINDS)).alias("found")), "candidates")
     counted = found.select(F.explode("found").alias("x")).groupBy("x.k", "x.len", *(f"x.{v}" for v in LABELERS)).agg(F.count(F.lit(1)).alias("n"))
-    patterns = [r.asDict() for r in counted.orderBy("k", "len", *LABELERS).collect()]  # at most 567 rows
+    patterns = [r.asDict() for r in counted.orderBy("k", "len", *LABELERS).collect()]  # at most 648 rows
     w = train_classifier(patterns, reliabilities(patterns)["posterior"])
     found = found.select("doc_id", F.filter("found", lambda x: (x.k < BASE) | (classified(x, w) > 0)).alias("found"))
     # The wider kinds give way to base spans that they overlap.

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docquery.llm import blocks as B
 from docquery.llm import word_model
-from docquery.llm.common import discard, id_and_text, settle, small, without
+from docquery.llm.common import discard, id_and_text, settle, small, text_key, without
 
 A = 44
 SHARD_BYTES = 128 << 20
@@ -201,21 +201,21 @@ def scored(batches: Iterator[pa.RecordBatch], tables: dict[tuple[str, int], byte
                 total[some[-1]] = cost[first[some[-1]] : first[some[-1] + 1]].sum()
                 total[some] *= float(STEP) / n[some]
             total[[k not in tables for k in keys[a:b]]] = np.nan
-            yield batch.slice(a, b - a).select(["doc_id", "key", "good", "id"]).append_column("length", pa.array((np.log2(np.maximum(n, 1)) / 2).astype(np.int32))).append_column("nll", pa.array(total, pa.float64(), mask=np.isnan(total)))
+            yield batch.slice(a, b - a).select(["doc_id", "text_key", "key", "good", "id"]).append_column("length", pa.array((np.log2(np.maximum(n, 1)) / 2).astype(np.int32))).append_column("nll", pa.array(total, pa.float64(), mask=np.isnan(total)))
 
 
 FIGURES = ["perplexity", "least", "most", "word_perplexity", "word_least", "word_most"]
 
 
 def assess(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """doc_id, model, perplexities and limits of both models, accepted of every row of docs; texts labelled with quality 1 are trusted."""
+    """doc_id, text_key, model, perplexities and limits of both models, accepted of every row of docs; texts labelled with quality 1 are trusted."""
     spark = docs.sparkSession
     good = settle(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).distinct(), "trusted")
-    rows = id_and_text(docs, F.col("lang").cast("string").alias("lang"))
+    rows = id_and_text(docs, F.col("lang").cast("string").alias("lang"), text_key().alias("text_key"))
     rows = rows.join(small(good, good.count()), F.col("doc_id") == F.col("good_id"), "left").withColumn("good", F.col("good_id").isNotNull()).drop("good_id")
     trusted = rows.where("good AND text IS NOT NULL").select("text", "lang")
     if trusted.isEmpty():
-        return rows.select("doc_id", F.lit(None).cast("string").alias("model"), *(F.lit(None).cast("double").alias(c) for c in FIGURES), F.lit(True).alias("accepted"))
+        return rows.select("doc_id", "text_key", F.lit(None).cast("string").alias("model"), *(F.lit(None).cast("double").alias(c) for c in FIGURES), F.lit(True).alias("accepted"))
     own = languages(trusted)
     rows = rows.withColumn("key", F.when(F.col("lang").isin(*own), F.col("lang")).otherwise("*") if own else F.lit("*"))
     every = not rows.where("key = '*'").isEmpty()  # without such rows nothing asks for the model of all languages
@@ -230,18 +230,20 @@ def assess(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     for i in range(0, len(names), per):
         held = spark.sparkContext.broadcast(held_tables(tables, names[i : i + per]))
         part = rows if len(names) <= per else rows.where(F.col("key").isin(*names[i : i + per]))
-        part = settle(part.mapInArrow(lambda it, held=held: scored(it, held.value), "doc_id long, key string, good boolean, id long, length int, nll double"), "scores")
+        part = settle(part.mapInArrow(lambda it, held=held: scored(it, held.value), "doc_id long, text_key long, key string, good boolean, id long, length int, nll double"), "scores")
         held.destroy()
         parts = part if parts is None else parts.union(part)
     discard(tables)
+    spark._jvm.System.gc()
     marks = settle(parts.join(words.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").drop("id", "of"), "marks")
+    discard(words)
     accepted = F.lit(True)
     for c in ("nll", "words_nll"):
         by_length, by_key, every = bounds(marks.where("good"), c, low, high)
         marks = marks.join(F.broadcast(by_length), ["key", "length"], "left").join(F.broadcast(by_key), "key", "left").withColumn(f"q_{c}", F.coalesce(f"l_{c}", f"k_{c}", F.lit(every).cast("array<double>")))
         accepted = accepted & F.coalesce((F.col(c) >= F.col(f"q_{c}")[0] - SLACK) & (F.col(c) <= F.col(f"q_{c}")[1] + SLACK), F.lit(True))
     shown = lambda c: (F.exp(c), F.exp(F.col(f"q_{c}")[0] - SLACK), F.exp(F.col(f"q_{c}")[1] + SLACK))
-    return marks.select("doc_id", F.col("key").alias("model"), *(x.alias(n) for n, x in zip(FIGURES, [*shown("nll"), *shown("words_nll")], strict=True)), accepted.alias("accepted"))
+    return marks.select("doc_id", "text_key", F.col("key").alias("model"), *(x.alias(n) for n, x in zip(FIGURES, [*shown("nll"), *shown("words_nll")], strict=True)), accepted.alias("accepted"))
 
 
 def bounds(marks: DataFrame, c: str, low: float, high: float) -> tuple[DataFrame, DataFrame, list[float] | None]:
@@ -255,4 +257,4 @@ def bounds(marks: DataFrame, c: str, low: float, high: float) -> tuple[DataFrame
 
 def quality_filter(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """docs without the rejected ones; all columns stay as they are."""
-    return without(docs, assess(docs, labels, low, high).where("NOT accepted").select(F.col("doc_id").alias("gone_id")))
+    return without(docs, assess(docs, labels, low, high).where("NOT accepted").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text")))

@@ -22,18 +22,19 @@ continuation counts stay as they are.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm import blocks as B
 from docquery.llm.common import discard, settle
 
 #: Passes over the documents; bytes of packed rows in a range, of some 1.5 a byte of text; at least so many ranges a pass.
-PASSES, RANGE_BYTES, LEAST_RANGES = 6, 16 << 20, 4
+PASSES, RANGE_BYTES, LEAST_RANGES = 6, 32 << 20, 3
 #: At most so many words, and so many pairs, are broadcast.
 HOT = 1 << 17
 #: Equally likely words of the lowest order.
@@ -255,10 +256,10 @@ def fit(trusted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, Values]:
     rows = trusted.mapInArrow(lambda it: counted(it, parts), PACKED)
     pairs = settle(rows.groupBy("p", "lang").applyInArrow(merged, PACKED), "pairs")
     high = discounts(pairs)
-    trusted.sparkSession._jvm.System.gc()
+    release(trusted.sparkSession)
     asked = pairs.mapInArrow(lambda it: asked_words(it, parts), PACKED)
     words = settle(asked.groupBy("p", "lang").applyInArrow(lambda t: summed_words(t, high), PACKED), "words")
-    trusted.sparkSession._jvm.System.gc()  # lets Spark remove the shuffle files of the counts
+    release(trusted.sparkSession)
     return pairs, words, Values(high, discounts(words.where(F.col("kind") == FOLLOWS)))
 
 
@@ -409,6 +410,14 @@ def looked_up(t: pa.Table, values: Values) -> pa.Table:
     return pa.table({"id": once, "known": np.bincount(back, np.concatenate(sums), len(once)).astype(np.float32)})
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs, which it does when their plans are collected; on a cluster a
+    job's last events may still hold them for a moment."""
+    if not spark.sparkContext.master.startswith("local["):
+        time.sleep(1)
+    spark._jvm.System.gc()
+
+
 def costs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(id, words_nll) of (id, text, key, trusted): the mean cost of a word, null without words. Ids stand for equal rows."""
     spark = docs.sparkSession
@@ -428,7 +437,7 @@ def costs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         here = F.col("p").between(mine.start, mine.stop - 1)
         rows = rows.unionByName(pairs.where(here)).unionByName(words.where(here))
         found.append(settle(rows.groupBy("p").applyInArrow(lambda t: looked_up(t, values), "id long, known float"), "known"))
-        spark._jvm.System.gc()  # lets Spark remove the pass's shuffle files
+        release(spark)
     discard(pairs, words)
     hot.destroy()
     known = found[0]
