@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,18 @@ def discard(*frames: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs inside send at most so many rows to Python at once: whole texts of a batch are in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before))) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side whose counted rows are within the bound, else leave it to a shuffled join that can be split."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -34,16 +34,16 @@ from pyspark.sql import functions as F
 
 from docquery.llm import blocks as B
 from docquery.llm import word_model
-from docquery.llm.common import discard, id_and_text, settle, small, text_key, without
+from docquery.llm.common import discard, id_and_text, settle, small, small_batches, text_key, without
 
 A = 44
-SHARD_BYTES = 128 << 20
+SHARD_BYTES = 32 << 20
 LEAST_DOCS, MOST_LANGUAGES = 30, 256
 LOW, HIGH = 0.005, 0.995
 #: A document may lie this far outside the quantiles (in nats a symbol or word) before it is rejected.
 SLACK = 0.05
 #: Distinct four-grams of all languages that a task holds before it passes them on.
-HELD = 3_000_000
+HELD = 1_000_000
 #: A step of the 16-bit logarithms: -log(1e-12) is 65,535 steps.
 STEP = np.float32(27.631021 / 65535)
 
@@ -75,6 +75,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return four[at], np.searchsorted(at, offsets)
 
 
+@B.tidy
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, half, g, c): all four-grams of a task's texts, summed up to a bounded number of distinct ones."""
     held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -131,6 +132,7 @@ def logarithms(g: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.round(-np.log(np.maximum(p, 1e-12)) / STEP).astype(np.uint16)
 
 
+@B.tidy
 def made(t: pa.Table) -> pa.Table:
     c = np.bincount(t.column("g").to_numpy(), t.column("c").to_numpy(), A**4)
     g = np.flatnonzero(c)
@@ -152,12 +154,12 @@ def model(trusted: DataFrame, names: list[str], every: bool, whole: bool = False
     all counts, not of halves."""
     known = F.when(F.col("lang").isin(*names), F.col("lang")).otherwise("*") if names else F.lit("*")
     rows = trusted.where("text IS NOT NULL").select("text", known.alias("lang"), half(F.col("text")).alias("half"))
-    counts = settle((rows if every else rows.where("lang <> '*'")).mapInArrow(counted, "lang string, half int, g int, c long").groupBy("lang", "half", "g").agg(F.sum("c").alias("c")), "counts")
+    counts = settle((rows if every else rows.where("lang <> '*'")).mapInArrow(lambda it: counted(it), "lang string, half int, g int, c long").groupBy("lang", "half", "g").agg(F.sum("c").alias("c")), "counts")
     both = counts.where("lang <> '*'")
     if every:
         both = both.unionByName(counts.groupBy("half", "g").agg(F.sum("c").alias("c")).withColumn("lang", F.lit("*")))
     parts = both.select("lang", (F.lit(BOTH) if whole else 1 - F.col("half")).alias("part"), "g", "c")
-    out = settle(parts.groupBy("lang", "part").applyInArrow(made, "lang string, part int, steps binary"), "model")
+    out = settle(parts.groupBy("lang", "part").applyInArrow(lambda t: made(t), "lang string, part int, steps binary"), "model")
     discard(counts)
     return out
 
@@ -181,6 +183,7 @@ def fit(trusted: DataFrame) -> dict[str, np.ndarray]:
     return {lang: np.frombuffer(t, np.uint16) * STEP for (lang, _), t in held_tables(model(trusted, names, True, True), [*names, "*"]).items()}
 
 
+@B.tidy
 def scored(batches: Iterator[pa.RecordBatch], tables: dict[tuple[str, int], bytes]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = list(zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), strict=True))
@@ -209,6 +212,11 @@ FIGURES = ["perplexity", "least", "most", "word_perplexity", "word_least", "word
 
 def assess(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id, text_key, model, perplexities and limits of both models, accepted of every row of docs; texts labelled with quality 1 are trusted."""
+    with small_batches(docs.sparkSession):
+        return _assess(docs, labels, low, high)
+
+
+def _assess(docs: DataFrame, labels: DataFrame, low: float, high: float) -> DataFrame:
     spark = docs.sparkSession
     good = settle(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).distinct(), "trusted")
     rows = id_and_text(docs, F.col("lang").cast("string").alias("lang"), text_key().alias("text_key"))

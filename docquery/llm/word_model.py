@@ -34,7 +34,7 @@ from docquery.llm import blocks as B
 from docquery.llm.common import discard, settle
 
 #: Passes over the documents; bytes of packed rows in a range, of some 1.5 a byte of text; at least so many ranges a pass.
-PASSES, RANGE_BYTES, LEAST_RANGES = 6, 32 << 20, 3
+PASSES, RANGE_BYTES, LEAST_RANGES = 6, 24 << 20, 3
 #: At most so many words, and so many pairs, are broadcast.
 HOT = 1 << 17
 #: Equally likely words of the lowest order.
@@ -150,6 +150,7 @@ def opened_pairs(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return opened_keys(t.column("g")[i]), opened(t.column("x")[i], np.uint32), opened(t.column("y")[i], np.uint32), opened(t.column("z")[i], np.uint64).astype(np.int64)
 
 
+@B.tidy
 def counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Packed pairs of each block, language and range."""
     for batch in batches:
@@ -164,6 +165,7 @@ def counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             yield batch_of(out)
 
 
+@B.tidy
 def merged(t: pa.Table) -> pa.Table:
     """One row of a range and language, with the counts of counts."""
     a, b, c = [], [], []
@@ -184,6 +186,7 @@ def counts_of_counts(c: np.ndarray) -> list[int]:
     return [*(int((c == k).sum()) for k in (1, 2, 3, 4)), len(c), int(c.sum())]
 
 
+@B.tidy
 def asked_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """For the ranges of the words: each range's words as contexts (total, pairs of count 1, 2, more) and as followers."""
     for batch in batches:
@@ -197,6 +200,7 @@ def asked_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
             yield batch_of([(q, FOLLOWS, lang, p, squeezed_keys(w[s:e]), squeezed(stats[0][s:e]), squeezed(np.concatenate([x[s:e] for x in stats[1:4]])), squeezed(stats[4][s:e])) for q, s, e in slices(w, parts)])
 
 
+@B.tidy
 def summed_words(t: pa.Table, d: dict[str, tuple[float, ...]]) -> pa.Table:
     """A range's words with their sums, and what each range of pairs asked for, in the order of its list of words."""
     q, lang = t.column("p")[0].as_py(), t.column("lang")[0].as_py()
@@ -254,7 +258,7 @@ class Values:
 def fit(trusted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, Values]:
     """Packed pairs, packed words with the replies to the ranges of pairs, and their values, from (text, lang)."""
     rows = trusted.mapInArrow(lambda it: counted(it, parts), PACKED)
-    pairs = settle(rows.groupBy("p", "lang").applyInArrow(merged, PACKED), "pairs")
+    pairs = settle(rows.groupBy("p", "lang").applyInArrow(lambda t: merged(t), PACKED), "pairs")
     high = discounts(pairs)
     release(trusted.sparkSession)
     asked = pairs.mapInArrow(lambda it: asked_words(it, parts), PACKED)
@@ -322,6 +326,7 @@ def hot_keys(pairs: DataFrame, words: DataFrame, values: Values) -> dict[int, Ke
 # Documents
 
 
+@B.tidy
 def measured(batches: Iterator[pa.RecordBatch], values: Values, hot: dict[int, Keys]) -> Iterator[pa.RecordBatch]:
     """(id, key, words, known): the number of words, and what the hot keys take off the cost."""
     for batch in batches:
@@ -338,6 +343,7 @@ def measured(batches: Iterator[pa.RecordBatch], values: Values, hot: dict[int, K
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(s, e - s), batch.column("key").slice(s, e - s), pa.array(words), pa.array(total)], names=["id", "key", "words", "known"])
 
 
+@B.tidy
 def asked_keys(batches: Iterator[pa.RecordBatch], hot: dict[int, Keys], parts: int, mine: range) -> Iterator[pa.RecordBatch]:
     """Documents' keys in the ranges `mine`, without the hot ones: distinct keys, how many documents each, those and n."""
     for batch in batches:
@@ -385,6 +391,7 @@ def model_keys(t: pa.Table, kinds: np.ndarray, values: Values) -> dict[int, Keys
     return {k: Keys(*map(np.concatenate, zip(*(v or [empty]), strict=True))) for k, v in found.items()}
 
 
+@B.tidy
 def looked_up(t: pa.Table, values: Values) -> pa.Table:
     """(id, known): what a range of keys takes off each document's cost."""
     t = t.combine_chunks()
