@@ -14,6 +14,8 @@ from docquery.operators.text import TextIndex
 from docquery.operators.vector import build_cells
 from docquery.plans import pipelines as P
 from docquery.plans.filters import parse_modifier
+from docquery.sources.dynamic import typed
+from docquery.sources.dynamic_pipeline import aggregate as dynamic_aggregate
 from docquery.sources.store import merge_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,9 +184,31 @@ def update_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modify(rows, parse_modifier({"$push": {"words": "x"}, "$pop": {"words": -1}, "$addToSet": {"words": "x"}, "$pull": {"words": "nothing"}}, "p_partkey")).drop("__modified")
 
 
-@query("merge_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_totalprice * 2 FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 1")
+@query("merge_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT o_orderkey + 1000000000000, o_totalprice * 2 FROM orders WHERE o_orderstatus = 'F'")
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubled prices of finished orders, under their own keys and under new ones."""
     c = renamed(spark, sf_dir)
     new = c.aggregate([{"$match": {"o_orderstatus": "F"}}, {"$project": {"id": 1, "o_totalprice": {"$multiply": ["$o_totalprice", 2]}}}]).rows()
-    old = c.df.filter(F.pmod("id", F.lit(2)) == 0).select("id", "o_totalprice")  # the target collection of this merge
-    return merge_rows(old, new, P.Merge("target"))[0]
+    new = new.unionByName(new.withColumn("id", F.col("id") + 1_000_000_000_000))
+    return merge_rows(c.df.select("id", "o_totalprice"), new, P.Merge("target"))[0]
+
+
+def dynamic(name: str, table: str, doc: str, stages: list[dict], schema: str, sql: str) -> None:
+    """A pipeline over documents of mixed types, made of a table's rows by a SQL expression."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        docs = s.read.parquet(f"{d}/{table}.parquet").select(F.expr(doc).alias("doc"))
+        return typed(dynamic_aggregate(docs, stages), schema)
+
+    query(name, sql)(run)
+
+
+_MIXED = """concat('{"id": ', event_id, ', "k": ', CASE WHEN event_id % 2 = 0 THEN cast(user_id % 3 AS string) ELSE concat('"s', user_id % 3, '"') END, ', "u": ', CASE WHEN event_id % 5 = 0 THEN '"none"' ELSE cast(user_id AS string) END, '}')"""
+dynamic("dyn_group_mixed", "events", _MIXED, [{"$group": {"_id": "$k", "n": {"$count": {}}, "total": {"$sum": "$u"}, "least": {"$min": "$u"}, "most": {"$max": "$u"}, "first": {"$first": "$id"}}}], "id string, n double, total double, least string, most string, first long",
+        "SELECT CASE WHEN event_id % 2 = 0 THEN (user_id % 3)::VARCHAR ELSE 's' || (user_id % 3) END AS id, count(*)::DOUBLE AS n, sum(CASE WHEN event_id % 5 <> 0 THEN user_id ELSE 0 END)::DOUBLE AS total, min(CASE WHEN event_id % 5 <> 0 THEN user_id END)::VARCHAR AS least, CASE WHEN count(*) FILTER (event_id % 5 = 0) > 0 THEN 'none' ELSE max(user_id)::VARCHAR END AS most, min(event_id) AS first FROM events GROUP BY 1")
+dynamic("dyn_unwind", "part", """concat('{"id": ', p_partkey, ', "w": ', CASE WHEN p_size > 25 THEN to_json(split(p_name, ' ')) ELSE to_json(array(p_name)) END, '}')""", [{"$unwind": "$w"}, {"$match": {"w": {"$regex": "^[[:lower:]]"}}}, {"$group": {"_id": "$w", "n": {"$count": {}}, "sizes": {"$addToSet": {"$cond": [{"$gt": ["$id", 100]}, "late", 1]}}}}, {"$project": {"id": 1, "n": 1}}], "id string, n double",
+        "SELECT w AS id, count(*)::DOUBLE AS n FROM (SELECT unnest(CASE WHEN p_size > 25 THEN string_split(p_name, ' ') ELSE [p_name] END) AS w FROM part) WHERE regexp_matches(w, '^[[:lower:]]') GROUP BY 1")
+dynamic("dyn_sort_mixed", "orders", """concat('{"id": ', o_orderkey, ', "v": ', CASE WHEN o_orderkey % 3 = 0 THEN concat('"', o_orderpriority, '"') ELSE cast(o_custkey AS string) END, '}')""", [{"$sort": {"v": -1}}, {"$limit": 6000}, {"$group": {"_id": "$v", "n": {"$count": {}}}}], "id string, n double",
+        "SELECT v AS id, count(*)::DOUBLE AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_custkey::VARCHAR END AS v FROM orders ORDER BY o_orderkey % 3 = 0 DESC, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END DESC, o_custkey DESC, o_orderkey LIMIT 6000) GROUP BY 1")
+pipeline("lookup_after_group", "nation", [{"$group": {"_id": "$n_regionkey"}}, {"$project": {"refs": [1, 2, 1, 77]}}, {"$lookup": {"localField": "refs", "as": "other"}}, {"$project": {"names": "$other.n_name"}}], "SELECT [(SELECT n_name FROM nation WHERE n_nationkey = 1), (SELECT n_name FROM nation WHERE n_nationkey = 2)] AS names FROM (SELECT DISTINCT n_regionkey FROM nation)", "id")
+find("match_regex_posix", "part", {"p_name": {"$regex": r"^[[:lower:]]+\x20\Q\E[^[:upper:]]*\pL\z"}}, r"regexp_matches(p_name, '^[[:lower:]]+\x20[^[:upper:]]*\pL\z')", "p_partkey, p_name")

@@ -15,6 +15,7 @@ from docquery.functions.paths import find_path, step
 from docquery.plans import filters as P
 from docquery.plans import values as V
 from docquery.plans.errors import UnsupportedTyped
+from docquery.plans.patterns import for_java
 
 
 def compile_filter(f: Any, schema: T.StructType) -> Column:
@@ -107,7 +108,7 @@ def has_type(x: Typed, tag: int) -> Column:
 
 
 def regex(x: Typed, f: P.Regex) -> Column:
-    pattern = (f"(?{f.flags})" if f.flags else "") + f.pattern
+    pattern = for_java(f.pattern, f.flags)
     if x.kind == "str":
         out = F.coalesce(x.col.rlike(pattern), F.lit(False))
         prefix = P.literal_prefix(f.pattern, f.flags)

@@ -38,6 +38,8 @@ class Frame:
     #: The collection itself, for $lookup.
     base: DataFrame | None = None
     name: str = ""
+    #: Whether the result has to be put in order; until then an order is only known, not made.
+    pending: bool = False
 
     @property
     def schema(self) -> T.StructType:
@@ -58,7 +60,8 @@ class Frame:
         return f"__o{len(self.hidden)}"
 
     def result(self) -> DataFrame:
-        return self.df.select(*(F.col(f"`{c}`") for c in self.visible))
+        df = ordered(self) if self.pending else self.df
+        return df.select(*(F.col(f"`{c}`") for c in self.visible))
 
 
 def source(df: DataFrame, pk: str = "id", name: str = "") -> Frame:
@@ -89,9 +92,9 @@ def apply(f: Frame, s: Any, limits: bool = False) -> Frame:
     if isinstance(s, P.Sort):
         return sort(f, s.keys)
     if isinstance(s, P.Skip):
-        return replace(f, df=ordered(f).offset(s.n))
+        return replace(f, df=ordered(f).offset(s.n), pending=False)
     if isinstance(s, P.Limit):
-        return replace(f, df=ordered(f).limit(s.n))
+        return replace(f, df=ordered(f).limit(s.n), pending=False)
     if isinstance(s, P.Count):
         return Frame(f.df.agg(F.count(F.lit(1)).cast("double").alias(s.name)), (), f.pk, f.base, f.name)
     if isinstance(s, P.Lookup):
@@ -165,14 +168,13 @@ def sort_key(x: Typed, desc: bool) -> list[Column]:
 
 
 def sort(f: Frame, keys: tuple[SortKey, ...]) -> Frame:
-    """Stable: ties stay in arrival order."""
+    """Stable: ties stay in arrival order. Only the order's columns are made: what follows may have no use for sorted rows."""
     df, new, n = f.df, [], len(f.hidden)
     for k in keys:
         x = Typed(F.col("_score"), T.DoubleType()) if k.score else find_path(f.schema, k.path)
         for c in sort_key(x, k.desc):
             df, new, n = df.withColumn(f"__o{n}", c), [*new, Order(f"__o{n}", k.desc)], n + 1
-    out = replace(f, df=df, order=(*new, *f.order))
-    return replace(out, df=ordered(out))
+    return replace(f, df=df, order=(*new, *f.order), pending=True)
 
 
 def arrival(f: Frame) -> Column:
@@ -248,22 +250,20 @@ def lookup(f: Frame, s: P.Lookup) -> Frame:
     if x.kind != "arr":
         df = f.df.withColumn("__local", x.col).join(right, F.col("__local") == F.col("__key"), "left")
         return replace(f, df=df.select(*keep, F.when(F.col("__doc").isNotNull(), F.array("__doc")).otherwise(F.array().cast(T.ArrayType(doc))).alias(s.name)))
-    # Distinct keys are joined, found documents come back by row; rows are known by their arrival order.
-    rows = f.df.withColumn("__row", F.xxhash64(F.to_json(F.struct(*(f.hidden or f.df.columns)))) if not f.order else arrival(f))
-    keys = rows.select("__row", F.posexplode(F.array_distinct(F.filter(x.col, lambda e: e.isNotNull()))).alias("__pos", "__local"))
+    # Equal arrays find the same documents, so distinct arrays are looked up and rows take what their array has found.
+    rows = f.df.withColumn("__row", F.array_distinct(F.filter(x.col, lambda e: e.isNotNull())))
+    keys = rows.select("__row").distinct().select("__row", F.posexplode("__row").alias("__pos", "__local"))
     found = keys.join(right, F.col("__local") == F.col("__key")).groupBy(F.col("__row").alias("__at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__doc"))), lambda p: p["__doc"]).alias("__found"))
     df = rows.join(found, F.col("__row") == F.col("__at"), "left")
     return replace(f, df=df.select(*keep, F.coalesce("__found", F.array().cast(T.ArrayType(doc))).alias(s.name)))
 
 
 def facet(f: Frame, s: P.Facet, limits: bool = False) -> Frame:
-    """One row of arrays. The input is stored once and each branch is one aggregate of one row."""
-    from pyspark import StorageLevel
-
-    shared = replace(f, df=f.df.persist(StorageLevel.MEMORY_AND_DISK))
+    """One row of arrays; each branch is one aggregate of one row over its own reading of the input, so nothing is kept in
+    memory or on disk that somebody would have to release. Spark reuses the exchanges that branches share."""
     out = None
     for name, stages in s.branches.items():
-        b = run(shared, stages, limits)
+        b = run(f, stages, limits)
         doc = F.struct(*(F.col(f"`{c}`") for c in b.visible))
         items = F.transform(F.array_sort(F.collect_list(F.struct(arrival(b).alias("o"), doc.alias("d")))), lambda p: p.d) if b.order else F.collect_list(doc)
         one = b.df.agg(items.alias(name))

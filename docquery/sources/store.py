@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -213,25 +215,19 @@ class Stored:
                 return self
         if unique:
             self.unique(self.df, new)
-        meta = {**self.meta, "indexes": [*self.meta["indexes"], {**new.__dict__, "fields": list(fields)}]}
-        return self.swap(meta)
+        return self.reindexed([*self.meta["indexes"], {**new.__dict__, "fields": list(fields)}])
 
     def drop_index(self, name: str) -> Stored:
         if all(i.name != name for i in self.indexes):
             raise IndexMismatch(name)
-        return self.swap({**self.meta, "indexes": [i for i in self.meta["indexes"] if i["name"] != name]})
+        return self.reindexed([i for i in self.meta["indexes"] if i["name"] != name])
 
     # Commits
 
     def commit(self, docs: DataFrame) -> Stored:
         """Write the next version and swap the manifest, if nobody else has since this version was opened."""
         files, version = self.store.files, self.meta["version"] + 1
-        lock = f"{self.name}/.lock"
-        files.write(lock, "", False)  # fails if another writer is at it
-        try:
-            now = self.store.manifest(self.name)["version"] if files.exists(f"{self.name}/manifest.json") else 0
-            if now != self.meta["version"]:
-                raise RuntimeError(f"{self.name} was changed by another writer (version {now})")
+        with self.alone():
             files.remove(f"{self.name}/v={version}")
             keys = [f.lstrip("-") for i in self.indexes if i.kind == "range" for f in i.fields[:1] if f.lstrip("-") in docs.columns]
             laid_out = docs.repartitionByRange(F.col(f"`{self.pk}`")).sortWithinPartitions(*(f"`{k}`" for k in dict.fromkeys([self.pk, *keys])))
@@ -239,12 +235,26 @@ class Stored:
             meta = {**self.meta, "version": version, "schema": json.loads(docs.schema.json())}
             files.swap(f"{self.name}/manifest.json", json.dumps(meta))
             return Stored(self.store, self.name, meta)
+
+    @contextmanager
+    def alone(self) -> Iterator[None]:
+        """Hold the lock, with the manifest as it was when this version was opened."""
+        files, lock = self.store.files, f"{self.name}/.lock"
+        files.write(lock, "", False)  # fails if another writer is at it
+        try:
+            now = self.store.manifest(self.name) if files.exists(f"{self.name}/manifest.json") else {"version": 0, "indexes": self.meta["indexes"]}
+            if now["version"] != self.meta["version"] or now["indexes"] != self.meta["indexes"]:
+                raise RuntimeError(f"{self.name} was changed by another writer (version {now['version']})")
+            yield
         finally:
             files.remove(lock)
 
-    def swap(self, meta: dict[str, Any]) -> Stored:
-        self.store.files.swap(f"{self.name}/manifest.json", json.dumps(meta))
-        return Stored(self.store, self.name, meta)
+    def reindexed(self, indexes: list[dict[str, Any]]) -> Stored:
+        """The same version with other indexes."""
+        with self.alone():
+            meta = {**self.meta, "indexes": indexes}
+            self.store.files.swap(f"{self.name}/manifest.json", json.dumps(meta))
+            return Stored(self.store, self.name, meta)
 
     # Writing verbs
 

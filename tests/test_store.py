@@ -135,3 +135,19 @@ def test_stateless_stream(spark, tmp_path):
     assert sorted(r.u for r in spark.sql("SELECT u FROM unwound").collect()) == ["a!", "b!"]
     with pytest.raises(ValueError):
         apply_pipeline(stream, [{"$limit": 1}])
+
+
+def test_an_index_does_not_undo_another_write(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/two")
+    store.create("c", spark.createDataFrame([(1, "a")], "id long, v string"))
+    one, two = store.open("c"), store.open("c")
+    one.insert([(2, "b")])
+    with pytest.raises(RuntimeError):
+        two.ensure_index("v", "v")
+    with pytest.raises(RuntimeError):
+        two.drop_index("v") if two.indexes else two.ensure_index("w", "v")
+    assert store.open("c").count() == 2 and not store.open("c").indexes
+    again, stale = store.open("c").ensure_index("v", "v"), store.open("c")
+    again.drop_index("v")
+    with pytest.raises(RuntimeError):  # the indexes have changed since
+        stale.insert([(3, "c")])
