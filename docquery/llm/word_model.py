@@ -37,6 +37,8 @@ from docquery.llm.common import discard, settle
 PASSES, RANGE_BYTES, LEAST_RANGES = 6, 24 << 20, 3
 #: At most so many words, and so many pairs, are broadcast.
 HOT = 1 << 17
+#: Bytes of text whose pairs are summed up before they are shuffled.
+COUNTED_BYTES = 8 << 20
 #: Equally likely words of the lowest order.
 WORDS = 1 << 20
 NS = ["n1", "n2", "n3", "n4", "rows", "total"]
@@ -126,12 +128,12 @@ def lang_hash(names: list) -> np.ndarray:
     return B.hashes(data, offsets[:-1], offsets[1:])
 
 
-def blocks_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[str], np.ndarray, tuple]]:
+def blocks_of(batch: pa.RecordBatch, column: str, limit: int = B.BLOCK_BYTES) -> Iterator[tuple[int, int, list[str], np.ndarray, tuple]]:
     """(start, end, languages, each document's place among them, cycles) of a batch's blocks."""
     names = batch.column(column).to_pylist()
     known = {x: i for i, x in enumerate(dict.fromkeys(names))}
     of, hashed = np.array([known[x] for x in names], np.int64), lang_hash(list(known))
-    for s, e, data, offsets in B.blocks(batch.column("text")):
+    for s, e, data, offsets in B.blocks(batch.column("text"), limit):
         yield s, e, list(known), of[s:e], cycles(data, offsets, hashed[of[s:e]])
 
 
@@ -154,7 +156,7 @@ def opened_pairs(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Packed pairs of each block, language and range."""
     for batch in batches:
-        for _, _, langs, of, (a, b, doc) in blocks_of(batch, "lang"):
+        for _, _, langs, of, (a, b, doc) in blocks_of(batch, "lang", COUNTED_BYTES):
             g, li, out = pair(a, b), of[doc], []
             for i in np.unique(of):
                 at = np.flatnonzero(li == i)
