@@ -38,6 +38,7 @@ class ObjectId:
 
 
 EPOCH = datetime(1970, 1, 1)
+_TAGS = ((int | float, NUMBER), (str, STRING), (list | tuple, ARRAY), (dict, OBJECT), (bytes | bytearray, BINARY), (Vector, VECTOR), (ObjectId, OBJECT_ID), (datetime, DATE))
 
 
 def millis(t: datetime) -> int:
@@ -55,7 +56,7 @@ def tag(v: Any) -> int:
         return NULL
     if isinstance(v, bool):
         return TRUE if v else FALSE
-    for kind, t in ((int | float, NUMBER), (str, STRING), (list | tuple, ARRAY), (dict, OBJECT), (bytes | bytearray, BINARY), (Vector, VECTOR), (ObjectId, OBJECT_ID), (datetime, DATE)):
+    for kind, t in _TAGS:
         if isinstance(v, kind):
             return t
     raise TypeError(f"no document value: {type(v).__name__}")

@@ -1,6 +1,6 @@
 """Aggregation pipelines over documents of any shape (extended JSON strings).
 
-Stages that look at one document run in Arrow batches; groups, sorts, joins and pages are Spark's own, over bytes whose order
+Stages that look at one document run in Arrow batches, neighbours in one pass; groups, sorts, joins and pages are Spark's own, over bytes whose order
 is the order of values. A frame carries `doc` and `ord`, the bytes of its arrival order: the primary key, then sort keys and
 element numbers. Nothing is sorted until a page or the result asks for it, and accumulators are plain aggregates: sums, counts,
 least and greatest by bytes, first and last by arrival.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -33,6 +33,8 @@ class Documents:
     base: DataFrame
     pk: str = "id"
     ordered: bool = False
+    #: Stages that look at one document, f(document, order) to such pairs, still to run on df.
+    steps: tuple[Callable[[Any, bytes], Iterable[tuple]], ...] = ()
 
 
 def loaded(text: str) -> Any:
@@ -43,15 +45,24 @@ def dumped(doc: Any) -> str:
     return json.dumps(V.encode(doc))
 
 
-def each(df: DataFrame, f: Callable[[Any, bytes], Iterator[tuple]], schema: str = SCHEMA) -> DataFrame:
-    """Rows of f(document, order) for each row (doc, ord)."""
+def written(doc: Any, order: bytes) -> Iterator[tuple]:
+    yield dumped(doc), order
+
+
+def each(df: DataFrame, f: Callable[[Any, bytes], Iterable[tuple]], schema: str = SCHEMA, steps: tuple = ()) -> DataFrame:
+    """Rows of f(document, order) for what the steps make of each row (doc, ord)."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
+    def flow(doc: Any, order: bytes, i: int = 0) -> Iterable[tuple]:
+        if i == len(steps):
+            return f(doc, order)
+        return (row for d, o in steps[i](doc, order) for row in flow(d, o, i + 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "long": pa.int64()}
         types = [kinds[c.strip().split(" ")[1]] for c in schema.split(",")]
         for batch in batches:
-            rows = [row for text, order in zip(batch.column("doc").to_pylist(), batch.column("ord").to_pylist(), strict=True) if text is not None for row in f(loaded(text), order)]
+            rows = [row for text, order in zip(batch.column("doc").to_pylist(), batch.column("ord").to_pylist(), strict=True) if text is not None for row in flow(loaded(text), order)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return df.select("doc", "ord").mapInArrow(run, schema)
@@ -62,8 +73,20 @@ def inverted(key: bytes) -> bytes:
 
 
 def start(df: DataFrame, pk: str) -> Documents:
-    rows = each(df.select("doc", F.lit(b"").alias("ord")), lambda d, _: iter([(dumped(d), V.key(evaluate.get(d, pk)))]))
-    return Documents(rows, rows, pk)
+    """Dealt out by their text: a small file is few tasks' work for Spark, but documents take Python long."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select("doc", F.lit(b"").alias("ord")).repartition(tasks, "doc")
+    first = lambda d, _: [(d, V.key(evaluate.get(d, pk)))]
+    return Documents(rows, each(rows, written, steps=(first,)), pk, steps=(first,))
+
+
+def then(f: Documents, step: Callable[[Any, bytes], Iterable[tuple]]) -> Documents:
+    return replace(f, steps=(*f.steps, step))
+
+
+def settled(f: Documents) -> Documents:
+    """All steps run."""
+    return replace(f, df=each(f.df, written, steps=f.steps), steps=()) if f.steps else f
 
 
 def run(f: Documents, stages: list[Any]) -> Documents:
@@ -78,18 +101,19 @@ def apply(f: Documents, s: Any) -> Documents:
         if split_ranked(s.filter)[0] is not None:
             raise ParseError("ranked sources need a typed collection")
         kept = lambda d: evaluate.matches(s.filter, d) and all(evaluate.truthy(evaluate.evaluate(e, d)) for e in s.expressions)
-        return replace(f, df=each(f.df, lambda d, o: iter([(dumped(d), o)] if kept(d) else [])))
+        return then(f, lambda d, o: [(d, o)] if kept(d) else [])
     if isinstance(s, P.Project):
-        return replace(f, df=each(f.df, lambda d, o: iter([(dumped(fields(s.fields, d, {})), o)])))
+        return then(f, lambda d, o: [(fields(s.fields, d, {}), o)])
     if isinstance(s, P.AddFields):
-        return replace(f, df=each(f.df, lambda d, o: iter([(dumped(fields(s.fields, d, d)), o)])))
+        return then(f, lambda d, o: [(fields(s.fields, d, d), o)])
     if isinstance(s, P.Unwind):
-        return replace(f, df=each(f.df, lambda d, o: unwound(d, o, s)))
+        return then(f, lambda d, o: unwound(d, o, s))
     if isinstance(s, P.Group):
         return group(f, s)
     if isinstance(s, P.Sort):
         order = lambda d, o: b"".join(inverted(k) if x.desc else k for x in s.keys for k in [evaluate.sort_key(d, x)]) + o
-        return replace(f, df=each(f.df, lambda d, o: iter([(dumped(d), order(d, o))])), ordered=True)
+        return replace(then(f, lambda d, o: [(d, order(d, o))]), ordered=True)
+    f = settled(f)
     if isinstance(s, P.Skip):
         return replace(f, df=f.df.orderBy("ord").offset(s.n))
     if isinstance(s, P.Limit):
@@ -114,11 +138,11 @@ def unwound(doc: dict, order: bytes, s: P.Unwind) -> Iterator[tuple]:
     items = evaluate.get(doc, s.path)
     if isinstance(items, list) and items:
         for i, x in enumerate(items):
-            yield dumped(with_field(doc, [*way, last], x)), order + struct.pack(">I", i)
+            yield with_field(doc, [*way, last], x), order + struct.pack(">I", i)
     elif not isinstance(items, list) and items is not None and items is not V.MISSING:
-        yield dumped(doc), order + struct.pack(">I", 0)  # any other value stands for itself
+        yield doc, order + struct.pack(">I", 0)  # any other value stands for itself
     elif s.preserve:
-        yield dumped(without_field(doc, [*way, last])), order + struct.pack(">I", 0)
+        yield without_field(doc, [*way, last]), order + struct.pack(">I", 0)
 
 
 def with_field(doc: Any, way: list[str], value: Any) -> Any:
@@ -134,15 +158,24 @@ def without_field(doc: Any, way: list[str]) -> Any:
 
 
 def group(f: Documents, s: P.Group) -> Documents:
-    """Key bytes name the group; each accumulator has the columns that its aggregate needs."""
+    """Key bytes name the group; each accumulator has the columns that its aggregate needs.
+
+    Values of sets are rows of their own, numbered by their accumulator: equal ones meet, and the first stays, before a set is made.
+    """
     names = list(s.fields)
-    columns = "".join(f", n{i} double, v{i} string, b{i} binary" for i in range(len(names)))
+    sets = [i for i, (op, _) in enumerate(s.fields.values()) if op == "$addToSet"]
+    columns = "".join(f", n{i} double, v{i} string, b{i} binary" for i in range(len(names)) if i not in sets)
 
     def rows(doc: Any, order: bytes) -> Iterator[tuple]:
         key = evaluate.evaluate(s.key, doc)
-        out: list[Any] = [V.key(key), dumped(None if key is V.MISSING else key), order]
-        for op, e in s.fields.values():
+        name = V.key(key)
+        out: list[Any] = [name, dumped(None if key is V.MISSING else key), order, None, None, None]
+        for i, (op, e) in enumerate(s.fields.values()):
             v = evaluate.evaluate(e, doc) if op != "$count" else 1
+            if i in sets:
+                if v is not V.MISSING:
+                    yield (name, None, order, i, V.key(v), dumped(v), *[None] * (3 * (len(names) - len(sets))))
+                continue
             number = float(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
             known = v is not V.MISSING
             if op in ("$min", "$max"):
@@ -163,21 +196,25 @@ def group(f: Documents, s: P.Group) -> Documents:
             return F.coalesce((F.min_by if op == "$min" else F.max_by)(v, b), F.lit("null"))
         if op in ("$first", "$last"):
             return (F.min_by if op == "$first" else F.max_by)(F.struct(v), F.col("ord"))[f"v{i}"]
-        if op == "$push":
-            items = F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct("ord", v.alias("v")))))
-            return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x.v), ","), F.lit("]"))
-        # The first of equal values stays, in order of arrival.
-        items = F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct("ord", b.alias("b"), v.alias("v")))))
-        keys = F.transform(items, lambda x: x.b)
-        items = F.filter(items, lambda x, i: F.array_position(keys, x.b) == i + 1)
+        return listed(v, F.col("ord"))
+
+    def listed(v: Column, order: Column) -> Column:
+        items = F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(order.alias("ord"), v.alias("v")))))
         return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x.v), ","), F.lit("]"))
 
-    flat = each(f.df, rows, "key binary, id string, ord binary" + columns)
-    out = flat.groupBy("key").agg(F.first("id").alias("id"), *(total(i, op).alias(f"x{i}") for i, (op, _) in enumerate(s.fields.values())))
+    flat = each(f.df, rows, "key binary, id string, ord binary, at long, same binary, item string" + columns, f.steps)
+    totals = [total(i, op).alias(f"x{i}") for i, (op, _) in enumerate(s.fields.values()) if i not in sets]
+    if sets:
+        once = flat.groupBy("key", "at", "same").agg(F.first("id").alias("id"), F.min("ord").alias("ord"), F.min_by("item", "ord").alias("item"), *totals)
+        of = lambda i: listed(F.when(F.col("at") == i, F.col("item")), F.col("ord"))
+        values = [of(i) if i in sets else F.max(F.when(F.col("at").isNull(), F.col(f"x{i}"))) for i in range(len(names))]
+        out = once.groupBy("key").agg(F.first("id", ignorenulls=True).alias("id"), *(v.alias(f"x{i}") for i, v in enumerate(values)))
+    else:
+        out = flat.groupBy("key").agg(F.first("id").alias("id"), *totals)
     # Values are JSON already; a missing one leaves its field out.
     part = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(json.dumps(name) + ": "), x))
     doc = F.concat(F.lit("{"), F.concat_ws(", ", part("id", F.col("id")), *(part(n, F.col(f"x{i}")) for i, n in enumerate(names))), F.lit("}"))
-    return replace(f, df=out.select(doc.alias("doc"), F.col("key").alias("ord")), ordered=False)
+    return replace(f, df=out.select(doc.alias("doc"), F.col("key").alias("ord")), ordered=False, steps=())
 
 
 def lookup(f: Documents, s: P.Lookup) -> Documents:
@@ -204,7 +241,7 @@ def facet(f: Documents, s: P.Facet) -> Documents:
     """One document of arrays; each branch is one aggregate of one row."""
     out = None
     for i, stages in enumerate(s.branches.values()):
-        b = run(f, stages)
+        b = settled(run(f, stages))
         items = F.transform(F.array_sort(F.collect_list(F.struct("ord", "doc"))), lambda x: x.doc)
         one = b.df.agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias(f"x{i}"))
         out = one if out is None else out.crossJoin(one)  # one row each
@@ -214,5 +251,5 @@ def facet(f: Documents, s: P.Facet) -> Documents:
 
 def aggregate(df: DataFrame, pipeline: list[dict], pk: str = "id") -> DataFrame:
     """Column `doc` of a pipeline's documents, in order if it has a $sort that nothing has undone."""
-    f = run(start(df, pk), P.parse_pipeline(pipeline))
+    f = settled(run(start(df, pk), P.parse_pipeline(pipeline)))
     return (f.df.orderBy("ord") if f.ordered else f.df).select("doc")
