@@ -113,6 +113,8 @@ class Find:
             if any(k.score for k in self.keys) and not isinstance(ranked, Text):
                 raise ParseError("textScore needs $text", "$meta", source="sort")
             f = S.sort(f, self.keys)
+        if self.skip and self.n:
+            return S.apply(f, P.Page(self.skip, self.n))
         if self.skip:
             f = S.apply(f, P.Skip(self.skip))
         return S.apply(f, P.Limit(self.n)) if self.n else f

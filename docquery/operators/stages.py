@@ -17,6 +17,7 @@ from docquery.functions.compare import Typed, as_double, kind_of, plain
 from docquery.functions.expressions import cast, compile_expression, truthy
 from docquery.functions.filters import compile_filter
 from docquery.functions.paths import find_path
+from docquery.operators.pages import page
 from docquery.plans import pipelines as P
 from docquery.plans.errors import ParseError, UnsupportedTyped
 from docquery.plans.filters import SortKey, unsatisfiable
@@ -73,7 +74,7 @@ def source(df: DataFrame, pk: str = "id", name: str = "") -> Frame:
 
 def run(frame: Frame, stages: list[Any], limits: bool = False) -> Frame:
     head, rest = P.fold_prefix(stages)
-    for s in [*head, *rest]:
+    for s in [*head, *P.paged(rest)]:
         frame = apply(frame, s, limits)
     return frame
 
@@ -92,9 +93,11 @@ def apply(f: Frame, s: Any, limits: bool = False) -> Frame:
     if isinstance(s, P.Sort):
         return sort(f, s.keys)
     if isinstance(s, P.Skip):
-        return replace(f, df=ordered(f).offset(s.n), pending=False)
+        return replace(f, df=page(ordered(f), s.n), pending=False)
     if isinstance(s, P.Limit):
-        return replace(f, df=ordered(f).limit(s.n), pending=False)
+        return replace(f, df=page(ordered(f), n=s.n), pending=False)
+    if isinstance(s, P.Page):
+        return replace(f, df=page(ordered(f), s.skip, s.n), pending=False)
     if isinstance(s, P.Count):
         return Frame(f.df.agg(F.count(F.lit(1)).cast("double").alias(s.name)), (), f.pk, f.base, f.name)
     if isinstance(s, P.Lookup):
