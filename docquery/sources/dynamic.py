@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery import evaluate
+from docquery.operators.pages import page
 from docquery.plans import values as V
 from docquery.plans.errors import ParseError
 from docquery.plans.expressions import parse_expression
@@ -62,9 +63,7 @@ def find(df: DataFrame, filter: Any = None, *sort: Any, limit: int = 0, offset:
     if split_ranked(f)[0] is not None:
         raise ParseError("ranked sources need a typed collection")
     out = df.select("doc").mapInArrow(lambda it: _keyed(it, f, keys, pk), "doc string, key binary").orderBy("key")
-    if offset:
-        out = out.offset(offset)
-    return (out.limit(limit) if limit else out).select("doc")
+    return page(out, offset, limit).select("doc")
 
 
 def project(df: DataFrame, fields: dict[str, Any]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquery import evaluate
+from docquery.operators.pages import page
 from docquery.plans import pipelines as P
 from docquery.plans import values as V
 from docquery.plans.errors import ParseError
@@ -91,7 +92,7 @@ def settled(f: Documents) -> Documents:
 
 def run(f: Documents, stages: list[Any]) -> Documents:
     head, rest = P.fold_prefix(stages)
-    for s in [*head, *rest]:
+    for s in [*head, *P.paged(rest)]:
         f = apply(f, s)
     return f
 
@@ -115,9 +116,11 @@ def apply(f: Documents, s: Any) -> Documents:
         return replace(then(f, lambda d, o: [(d, order(d, o))]), ordered=True)
     f = settled(f)
     if isinstance(s, P.Skip):
-        return replace(f, df=f.df.orderBy("ord").offset(s.n))
+        return replace(f, df=page(f.df.orderBy("ord"), s.n))
     if isinstance(s, P.Limit):
-        return replace(f, df=f.df.orderBy("ord").limit(s.n))
+        return replace(f, df=page(f.df.orderBy("ord"), n=s.n))
+    if isinstance(s, P.Page):
+        return replace(f, df=page(f.df.orderBy("ord"), s.skip, s.n))
     if isinstance(s, P.Count):
         n = f.df.agg(F.count(F.lit(1)).alias("n"))
         return replace(f, df=n.select(F.to_json(F.struct(F.col("n").cast("double").alias(s.name))).alias("doc"), F.lit(b"").alias("ord")))

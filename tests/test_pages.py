@@ -16,7 +16,7 @@ def physical(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["limit_natural"])
+@pytest.mark.parametrize("name", ["limit_natural", "sort_skip_limit"])
 def test_a_page_is_a_top_k(spark, name):
     plan = physical(QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "offset=" in plan and "GlobalLimit" not in plan and "Sort" not in plan, plan
@@ -41,3 +41,9 @@ def test_pages(spark, monkeypatch, most, skip, n):
     assert [r.id for r in aggregate(df, stages).collect()] == want
     assert [json.loads(r.doc)["id"] for r in dynamic.find(raw, {}, "-v", limit=n, offset=skip).collect()] == want
     assert [json.loads(r.doc)["id"] for r in dynamic_aggregate(raw, stages).collect()] == want
+
+
+def test_dynamic_pages_are_a_top_k(spark):
+    raw = dynamic.from_documents(spark, [{"id": 1}])
+    for df in (dynamic.find(raw, {}, limit=2, offset=3), dynamic_aggregate(raw, [{"$sort": {"id": 1}}, {"$skip": 3}, {"$limit": 2}])):
+        assert "limit=5, offset=3" in physical(df), physical(df)
