@@ -46,11 +46,24 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The
+    shuffle files of the write go as it ends; else they stay until the driver's next collection of garbage, or the one after."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out

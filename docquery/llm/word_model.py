@@ -22,7 +22,6 @@ continuation counts stay as they are.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -262,10 +261,8 @@ def fit(trusted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, Values]:
     rows = trusted.mapInArrow(lambda it: counted(it, parts), PACKED)
     pairs = settle(rows.groupBy("p", "lang").applyInArrow(lambda t: merged(t), PACKED), "pairs")
     high = discounts(pairs)
-    release(trusted.sparkSession)
     asked = pairs.mapInArrow(lambda it: asked_words(it, parts), PACKED)
     words = settle(asked.groupBy("p", "lang").applyInArrow(lambda t: summed_words(t, high), PACKED), "words")
-    release(trusted.sparkSession)
     return pairs, words, Values(high, discounts(words.where(F.col("kind") == FOLLOWS)))
 
 
@@ -419,14 +416,6 @@ def looked_up(t: pa.Table, values: Values) -> pa.Table:
     return pa.table({"id": once, "known": np.bincount(back, np.concatenate(sums), len(once)).astype(np.float32)})
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs, which it does when their plans are collected; on a cluster a
-    job's last events may still hold them for a moment."""
-    if not spark.sparkContext.master.startswith("local["):
-        time.sleep(1)
-    spark._jvm.System.gc()
-
-
 def costs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(id, words_nll) of (id, text, key, trusted): the mean cost of a word, null without words. Ids stand for equal rows."""
     spark = docs.sparkSession
@@ -439,23 +428,22 @@ def costs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     hot = spark.sparkContext.broadcast(hot_keys(pairs, words, values))
     n = docs.mapInArrow(lambda it: measured(it, values, hot.value), "id long, key string, words long, known double").groupBy("id")
     n = settle(n.agg(F.max("key").alias("key"), F.max("words").alias("words"), F.count(F.lit(1)).alias("copies"), F.sum("known").alias("hot")), "words")
-    found = []
+    known = None
     for k in range(PASSES):
         mine = range(k * each, (k + 1) * each)
         rows = docs.mapInArrow(lambda it, mine=mine: asked_keys(it, hot.value, parts, mine), PACKED)
         here = F.col("p").between(mine.start, mine.stop - 1)
         rows = rows.unionByName(pairs.where(here)).unionByName(words.where(here))
-        found.append(settle(rows.groupBy("p").applyInArrow(lambda t: looked_up(t, values), "id long, known float"), "known"))
-        release(spark)
+        sums = rows.groupBy("p").applyInArrow(lambda t: looked_up(t, values), "id long, known float")
+        # A row of a document and pass at most stays on disk, not one of each range.
+        before, known = known, settle(sums.groupBy("id").agg(F.sum("known").alias("known")) if known is None else sums.unionByName(known).groupBy("id").agg(F.sum("known").alias("known")), "known")
+        if before is not None:
+            discard(before)
     discard(pairs, words)
     hot.destroy()
-    known = found[0]
-    for more in found[1:]:
-        known = known.unionByName(more)
-    known = known.groupBy("id").agg(F.sum("known").alias("known"))
     unknown = F.element_at(F.create_map(*(F.lit(x) for k in values.langs for x in (k, values.unknown(k)))), F.col("key"))
     # Equal rows were looked up each, and are averaged. The mark counts as a word of its own.
     cost = unknown - (F.col("hot") + F.coalesce("known", F.lit(0.0))) / (F.col("copies") * (F.col("words") + 1))
     out = settle(n.join(known, "id", "left").select("id", F.when(F.col("words") > 0, cost).alias("words_nll")), "costs")
-    discard(n, *found)
+    discard(n, known)
     return out

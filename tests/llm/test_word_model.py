@@ -1,12 +1,15 @@
 """The model of unfolded words against plain counts, and what only it can tell."""
 
+import glob
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from docquery.llm import quality, word_model
+from docquery.llm import common, quality, word_model
 from docquery.llm.word_model import WORDS
 
 
@@ -77,3 +80,37 @@ def test_limits_at_a_larger_size(spark):
     n = {(r["quality"], r["accepted"]): r["count"] for r in out}
     print(n)
     assert n[0, True] < 0.15 * 571 and n[1, False] < 0.03 * 3409
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """They went with the driver's collections of garbage, one pass late, so that two passes were on disk."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in folders for p in glob.glob(f"{d}/*/shuffle_*")}
+    there = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert df.collect() and files() - there  # a shuffle that is not written to a table stays
+    there |= files()
+    settled = common.settle(df, "test")
+    end = time.time() + 3
+    while files() - there and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - there and settled.count() == 7 and spark.conf.get(name) == before
+
+
+def test_sums_of_a_pass_are_one_row_a_document(spark, monkeypatch):
+    """Of four documents with keys in many ranges, no pass leaves more than four rows."""
+    monkeypatch.setattr(word_model, "HOT", 0)
+    monkeypatch.setattr(word_model, "RANGE_BYTES", 20)
+    settle, rows = word_model.settle, []
+
+    def counted(df, tag):
+        out = settle(df, tag)
+        rows.append(out.count() if tag == "known" else 0)
+        return out
+
+    monkeypatch.setattr(word_model, "settle", counted)
+    texts = [" ".join(f"w{(i * k) % 11}" for k in range(30)) for i in range(1, 5)]
+    docs = spark.createDataFrame([(i, t, "en", False) for i, t in enumerate(texts)], "id long, text string, key string, trusted boolean")
+    assert len(word_model.costs(docs, docs.selectExpr("text", "key AS lang")).collect()) == 4 and 0 < max(rows) <= 4
