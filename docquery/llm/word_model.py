@@ -12,6 +12,8 @@ The key space is cut into ranges of bounded size. Rows of a range travel packed:
 together, compressed, some six bytes a row. Counts of a range are merged by one task; what it needs to know of its words (mass
 and continuations) comes from the ranges of the words, which have summed them over all pairs. Documents' pre-aggregated (key,
 document, count) rows meet the counts range by range, in PASSES passes over the ranges, so that only a share of them is on disk.
+Rows and answers name a document by its place in its block, a run of texts whose ids are sent once a pass: the more ranges there
+are, the fewer keys of a document lie in one, and an id for each would soon outweigh them. A block's name is a digest of its ids.
 
 Keys that occur so often that at most HOT can, are broadcast with their values and never shuffled (a heavy-hitter split):
 no range has a hot key of the documents. On the driver are HOT words and pairs at most and eight numbers a language.
@@ -22,10 +24,13 @@ continuation counts stay as they are.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +38,19 @@ from docquery.llm import blocks as B
 from docquery.llm.common import discard, settle
 
 #: Passes over the documents; bytes of packed rows in a range, of some 1.5 a byte of text; at least so many ranges a pass.
-PASSES, RANGE_BYTES, LEAST_RANGES = 6, 24 << 20, 3
+PASSES, RANGE_BYTES, LEAST_RANGES = 5, 24 << 20, 3
 #: At most so many words, and so many pairs, are broadcast.
 HOT = 1 << 17
-#: Bytes of text whose pairs are summed up before they are shuffled.
+#: Bytes of text whose pairs or keys are packed together: a row for each of them and each range.
 COUNTED_BYTES = 8 << 20
+#: Upper bits of keys by which those are told that no hot key has.
+CELL_BITS = 21
 #: Equally likely words of the lowest order.
 WORDS = 1 << 20
 NS = ["n1", "n2", "n3", "n4", "rows", "total"]
 PACKED = "p int, kind int, lang string, k int, g binary, x binary, y binary, z binary, docs binary, " + ", ".join(f"{n} long" for n in NS)
-PAIRS, FOLLOWS, REPLIES, ASKED_PAIRS, ASKED_WORDS = range(5)
+PAIRS, FOLLOWS, REPLIES, BLOCK, ASKED_PAIRS, ASKED_WORDS = range(6)
+ANSWERS = "block long, ids binary, at binary, known binary"
 _TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 5, *[pa.int64()] * len(NS)]
 _NAMES = ["p", "kind", "lang", "k", "g", "x", "y", "z", "docs", *NS]
 
@@ -300,6 +308,19 @@ class Keys:
         k = np.minimum(np.searchsorted(self.g, h), len(self.g) - 1)
         return k, self.g[k] == h
 
+    @functools.cached_property
+    def cells(self) -> np.ndarray:
+        """Which of the values of the upper CELL_BITS bits occur."""
+        out = np.zeros(1 << CELL_BITS, bool)
+        out[self.g >> np.uint64(64 - CELL_BITS)] = True
+        return out
+
+    def seek(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of those among unsorted keys that are there, and their places."""
+        at = np.flatnonzero(self.cells[h >> np.uint64(64 - CELL_BITS)])
+        k, hit = self.find(h[at])
+        return at[hit], k[hit]
+
 
 def hot_keys(pairs: DataFrame, words: DataFrame, values: Values) -> dict[int, Keys]:
     """Pairs and words that hold more than 1 / HOT of all trusted words: at most HOT of each."""
@@ -334,8 +355,8 @@ def measured(batches: Iterator[pa.RecordBatch], values: Values, hot: dict[int, K
             total = np.zeros(e - s)
             for kind, g in ((0, pair(a, b)), (1, a)):
                 keys = hot[kind]
-                k, hit = keys.find(g)
-                code, n = np.unique(doc[hit] * max(1, len(keys.g)) + k[hit], return_counts=True)
+                at, k = keys.seek(g)
+                code, n = np.unique(doc[at] * max(1, len(keys.g)) + k, return_counts=True)
                 d, k = code // max(1, len(keys.g)), code % max(1, len(keys.g))
                 total += np.bincount(d, n * values.of(kind == 1, keys.c[k] - n * own[s:e][d], keys.r[k], keys.lang[k]), e - s)
             words = np.bincount(doc, minlength=e - s) - 1
@@ -344,15 +365,17 @@ def measured(batches: Iterator[pa.RecordBatch], values: Values, hot: dict[int, K
 
 @B.tidy
 def asked_keys(batches: Iterator[pa.RecordBatch], hot: dict[int, Keys], parts: int, mine: range) -> Iterator[pa.RecordBatch]:
-    """Documents' keys in the ranges `mine`, without the hot ones: distinct keys, how many documents each, those and n."""
+    """Documents' keys in the ranges `mine`, without the hot ones: distinct keys, how many documents each, those and 2 n + trusted."""
     for batch in batches:
         ids, own = batch.column("id").to_numpy(), batch.column("trusted").to_numpy(zero_copy_only=False)
-        for s, e, _, _, (a, b, doc) in blocks_of(batch, "key"):
-            out = []
+        for s, e, _, _, (a, b, doc) in blocks_of(batch, "key", COUNTED_BYTES):
+            out, mark = [], own[s:e].astype(np.uint32)
+            about = ids[s:e].astype(np.int64).tobytes()
+            name = int.from_bytes(hashlib.blake2b(about, digest_size=8).digest(), "little", signed=True)
             for kind, g in ((0, pair(a, b)), (1, a)):
                 p = place(g, parts)
                 at = np.flatnonzero((p >= mine.start) & (p < mine.stop))
-                at = at[~hot[kind].find(g[at])[1]]
+                at = np.delete(at, hot[kind].seek(g[at])[0])
                 if not len(at):
                     continue
                 h, d = g[at], doc[at]
@@ -362,11 +385,10 @@ def asked_keys(batches: Iterator[pa.RecordBatch], hot: dict[int, Keys], parts: i
                 n, h, d = np.diff(np.append(new, len(h))), h[new], d[new]
                 for q, i, j in slices(h, parts, mine):
                     first = np.flatnonzero(np.diff(h[i:j], prepend=~h[i]))
-                    some, where = np.unique(d[i:j], return_inverse=True)
-                    about = ids[s:e][some].astype(np.int64).tobytes() + own[s:e][some].astype(np.uint8).tobytes()
-                    out.append((q, ASKED_PAIRS + kind, None, 0, squeezed_keys(h[i:j][first]), squeezed(np.diff(np.append(first, j - i)).astype(np.uint32)), squeezed(where.astype(np.uint32)), squeezed(n[i:j].astype(np.uint32)), about))
+                    more = squeezed(2 * n[i:j].astype(np.uint32) + mark[d[i:j]])
+                    out.append((q, ASKED_PAIRS + kind, None, 0, squeezed_keys(h[i:j][first]), squeezed(np.diff(np.append(first, j - i)).astype(np.uint32)), squeezed(d[i:j].astype(np.uint32)), more, None, name, e - s))
             if out:
-                yield batch_of(out)
+                yield batch_of([*out, (mine.start + name % len(mine), BLOCK, None, 0, None, None, None, None, about, name, e - s)])
 
 
 def model_keys(t: pa.Table, kinds: np.ndarray, values: Values) -> dict[int, Keys]:
@@ -392,28 +414,43 @@ def model_keys(t: pa.Table, kinds: np.ndarray, values: Values) -> dict[int, Keys
 
 @B.tidy
 def looked_up(t: pa.Table, values: Values) -> pa.Table:
-    """(id, known): what a range of keys takes off each document's cost."""
+    """ANSWERS: what a range of keys takes off the cost of each block's documents, as places and sums, and ids of blocks."""
     t = t.combine_chunks()
-    kinds = t.column("kind").to_numpy()
-    out, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    kinds, names, sizes = (pc.fill_null(t.column(c), 0).to_numpy() for c in ("kind", "n1", "n2"))
     asked = np.flatnonzero(kinds >= ASKED_PAIRS)
     model = model_keys(t, kinds, values) if len(asked) else {}
-    for i in map(int, asked):
-        kind = int(kinds[i]) - ASKED_PAIRS
-        keys = model[kind]
-        k, hit = keys.find(opened_keys(t.column("g")[i]))
-        reps = opened(t.column("x")[i], np.uint32)
-        hit = np.repeat(hit, reps)
-        k, d, n = np.repeat(k, reps)[hit], opened(t.column("y")[i], np.uint32)[hit], opened(t.column("z")[i], np.uint32)[hit].astype(np.int64)
-        raw = t.column("docs")[i].as_buffer()
-        size = len(raw) // 9
-        ids, own = np.frombuffer(raw, np.int64, size), np.frombuffer(raw, np.uint8, size, 8 * size).astype(np.int64)
-        total = np.bincount(d, n * values.of(kind == 1, keys.c[k] - n * own[d], keys.r[k], keys.lang[k]), size)
+    out = [(int(names[i]), t.column("docs")[i].as_py(), None, None) for i in map(int, np.flatnonzero(kinds == BLOCK))]
+    asked = asked[np.argsort(names[asked], kind="stable")]
+    for mine in np.split(asked, np.flatnonzero(np.diff(names[asked])) + 1) if len(asked) else []:
+        size = int(sizes[mine[0]])
+        total = np.zeros(size)
+        for i in map(int, mine):
+            kind = int(kinds[i]) - ASKED_PAIRS
+            keys = model[kind]
+            k, hit = keys.find(opened_keys(t.column("g")[i]))
+            reps = opened(t.column("x")[i], np.uint32)
+            hit = np.repeat(hit, reps)
+            k, d, n = np.repeat(k, reps)[hit], opened(t.column("y")[i], np.uint32)[hit], opened(t.column("z")[i], np.uint32)[hit].astype(np.int64)
+            n, own = n >> 1, n & 1
+            total += np.bincount(d, n * values.of(kind == 1, keys.c[k] - n * own, keys.r[k], keys.lang[k]), size)
         some = np.flatnonzero(total)
-        out.append(ids[some])
-        sums.append(total[some])
-    once, back = np.unique(np.concatenate(out), return_inverse=True)
-    return pa.table({"id": once, "known": np.bincount(back, np.concatenate(sums), len(once)).astype(np.float32)})
+        if len(some):
+            out.append((int(names[mine[0]]), None, squeezed(np.diff(some, prepend=0).astype(np.uint32)), squeezed(total[some].astype(np.float32))))
+    return pa.table([pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [[]] * 4, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["block", "ids", "at", "known"])
+
+
+def resolved(t: pa.Table) -> pa.Table:
+    """(id, known): a block's answers, summed. Blocks of one name have the same ids, which are summed further on anyway."""
+    ids = [x for x in t.column("ids").to_pylist() if x is not None]
+    if not ids:  # a task that ran again saw its rows in another order: rather none than wrong sums
+        raise RuntimeError("answers for a block whose ids are not there")
+    ids = np.frombuffer(ids[0], np.int64)
+    total = np.zeros(len(ids))
+    for i, x in enumerate(t.column("at").is_valid().to_pylist()):
+        if x:
+            total[np.cumsum(opened(t.column("at")[i], np.uint32))] += opened(t.column("known")[i], np.float32)
+    once, back = np.unique(ids, return_inverse=True)
+    return pa.table({"id": once, "known": np.bincount(back, total, len(once))})
 
 
 def costs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -434,7 +471,7 @@ def costs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         rows = docs.mapInArrow(lambda it, mine=mine: asked_keys(it, hot.value, parts, mine), PACKED)
         here = F.col("p").between(mine.start, mine.stop - 1)
         rows = rows.unionByName(pairs.where(here)).unionByName(words.where(here))
-        sums = rows.groupBy("p").applyInArrow(lambda t: looked_up(t, values), "id long, known float")
+        sums = rows.groupBy("p").applyInArrow(lambda t: looked_up(t, values), ANSWERS).groupBy("block").applyInArrow(lambda t: resolved(t), "id long, known double")
         # A row of a document and pass at most stays on disk, not one of each range.
         before, known = known, settle(sums.groupBy("id").agg(F.sum("known").alias("known")) if known is None else sums.unionByName(known).groupBy("id").agg(F.sum("known").alias("known")), "known")
         if before is not None:

@@ -6,6 +6,8 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,17 @@ def test_sums_of_a_pass_are_one_row_a_document(spark, monkeypatch):
     texts = [" ".join(f"w{(i * k) % 11}" for k in range(30)) for i in range(1, 5)]
     docs = spark.createDataFrame([(i, t, "en", False) for i, t in enumerate(texts)], "id long, text string, key string, trusted boolean")
     assert len(word_model.costs(docs, docs.selectExpr("text", "key AS lang")).collect()) == 4 and 0 < max(rows) <= 4
+
+
+def test_ids_are_sent_once_however_many_ranges(spark):
+    """Of 30 documents of 200 words, each with keys in nearly all of 40 ranges; hot keys are sought as they are found."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(200)) for _ in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(texts), pa.array(["en"] * 30), pa.array([True] * 30)], names=["id", "text", "key", "trusted"])
+    none = word_model.Keys(*(np.zeros(0, t) for t in (np.uint64, np.int64, np.float32, np.int16)))
+    rows = pa.Table.from_batches(list(word_model.asked_keys(iter([batch]), {0: none, 1: none}, 40, range(40))))
+    assert len(rows) == 81 and sum(len(x) for x in rows["docs"].to_pylist() if x) == 8 * 30
+    h = np.random.default_rng(7).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    some = word_model.Keys(h[:500], *(np.zeros(500, t) for t in (np.int64, np.float32, np.int16)))
+    (at, k), (place, hit) = some.seek(h), some.find(h)
+    assert at.tolist() == np.flatnonzero(hit).tolist() and k.tolist() == place[hit].tolist() and len(at) >= 500
